@@ -238,6 +238,7 @@ def _small(batch: pa.RecordBatch, texts: list, chars: int = 2_000_000) -> Iterat
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """df with an array of token ids for each text; a column named like out gives way."""
     kept = df.drop(out)
+    names = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +247,8 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
             texts = batch.column(text).to_pylist()
             for a, b in _small(batch, texts):
                 ids = [list(chain.from_iterable(x)) for x in own.encode_batch(texts[a:b])]
-                columns = [batch.column(c).slice(a, b - a) for c in kept.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], [*kept.columns, out])
+                columns = [batch.column(c).slice(a, b - a) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -255,13 +256,14 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
 def decode_documents(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the bytes of each array of token ids; a null array has none."""
     kept = df.drop(out)
+    names = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             data = [None if x is None else own.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.columns), pa.array(data, pa.binary())], [*kept.columns, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(data, pa.binary())], [*names, out])
 
     return df.mapInArrow(run, schema)
 
