@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, exact, lines, mixing, simhash
+from marginalia.llm import bpe, exact, lines, mixing, quality, simhash, toxicity
 
-QUERIES = {f.__name__: f for f in (bpe.op1_byte_bpe, simhash.op2_simhash_trie, mixing.op3_curriculum_mix, lines.op4_line_dedup, exact.op5_stateful_exact)}
+QUERIES = {f.__name__: f for f in (bpe.op1_byte_bpe, simhash.op2_simhash_trie, mixing.op3_curriculum_mix, lines.op4_line_dedup, exact.op5_stateful_exact, toxicity.op6_transducer_toxicity, quality.op7_attention_quality)}
 
 ORACLE_SQL = {
     "op3_curriculum_mix": mixing.ORACLE_SQL,
