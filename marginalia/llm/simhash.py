@@ -21,8 +21,8 @@ if all its members' ids are null); repeated ids are repeated rows with one compo
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,28 +32,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.components import components
-from marginalia.llm.shared import cut, table, unused
+from marginalia.llm.shared import cut, table, unused, words
 
 SEED = 42
 #: Fingerprints that share a block value before its trie is cut deeper.
 GROUP = 50_000
 #: Node pairs walked at once.
 FRONT = 1 << 20
+#: Ids that may be sent to every executor.
+SENT_ROWS = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of the text's word shingles, repeats included."""
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of fewer words, of all of them."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, n = b" ".join(words), len(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     length = np.fromiter(map(len, words), np.int64, n)
     start = np.cumsum(length + 1) - length - 1
     end = (start + length)[shingle - 1 :]
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=False)), "<u8", len(end))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=False)), "<u8", len(end))
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of the text's word shingles, repeats included; 0 without words."""
+    hashes = _shingles(text, shingle)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int32)
@@ -91,60 +98,86 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = low, high
 
 
-def trie_pairs(fp: np.ndarray, ranges: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of fingerprints within the budget.
+class Segment(NamedTuple):
+    """Bits of a key that are walked together, and how many bits may differ by their end (with all segments before)."""
+
+    values: np.ndarray
+    bits: int
+    budget: int
 
-    fp: uint64, ascending and without repeats in every range. ranges: rows (from, to, from, to), the two tries to
-    join; the same one twice joins a trie with itself and gives each pair once.
+
+def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: np.ndarray) -> None:
+    """Unites, in `parent`, the nodes `at` of all keys within the budget.
+
+    The keys ascend, without repeats, in every range. ranges: rows (from, to, from, to), the two tries to join; the
+    same one twice joins a trie with itself. Pairs of subtries that are of one component already are left out, so
+    that a dense family costs about its size and not its square.
     """
-    ones = np.empty(len(fp) + 1, np.int64)
-    work = [(64, ranges.astype(np.int64), np.zeros(len(ranges), np.int64))]
+    n = len(keys[0].values)
+    levels = [(k, bit) for k, segment in enumerate(keys) for bit in range(segment.bits - 1, -1, -1)]
+    ones = np.zeros(n + 1, np.int64)
+    work = [(0, ranges.astype(np.int64), np.zeros(len(ranges), np.int64))]
     while work:
         level, front, errors = work.pop()
-        if not len(front):
-            continue
         if len(front) > FRONT:
             half = len(front) // 2
             work += [(level, front[half:], errors[half:]), (level, front[:half], errors[:half])]
             continue
+        if 4 * len(front) > n:
+            root = _find(parent, at)
+            changes = np.r_[0, 0, np.cumsum(root[1:] != root[:-1])]  # up to a place, from the one before
+            a0, a1, b0, b1 = front.T
+            one = (root[a0] == root[b0]) & (changes[a1] == changes[a0 + 1]) & (changes[b1] == changes[b0 + 1])
+            front, errors = front[~one], errors[~one]
+        if not len(front):
+            continue
         a0, a1, b0, b1 = front.T
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
             i, j = a0[leaf], b0[leaf]
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= budget) & (i != j)
-            yield i[near], j[near]
+            differ, near = 0, i != j
+            for segment in keys:
+                differ = differ + np.bitwise_count(segment.values[i] ^ segment.values[j]).astype(np.int64)
+                near &= differ <= segment.budget
+            _unite(parent, at[i[near]], at[j[near]])
             a0, a1, b0, b1, errors = a0[~leaf], a1[~leaf], b0[~leaf], b1[~leaf], errors[~leaf]
             if not len(a0):
                 continue
-        bit = level - 1
-        ones[0] = 0
-        np.cumsum((fp >> np.uint64(bit)) & np.uint64(1), out=ones[1:])
+        k, bit = levels[level]
+        np.cumsum((keys[k].values >> np.uint64(bit)) & np.uint64(1), out=ones[1:])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         same = a0 == b0
-        children = np.concatenate([
-            np.stack([a0, am, b0, bm, errors]), np.stack([am, a1, bm, b1, errors]),
-            np.stack([a0, am, bm, b1, errors + 1]), np.stack([am, a1, b0, bm, errors + 1])[:, ~same],
-        ], axis=1)
-        a0, a1, b0, b1, errors = children
-        on = (a1 > a0) & (b1 > b0) & (errors <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
-        work.append((bit, np.stack([a0, a1, b0, b1], axis=1)[on], errors[on]))
-
-
-def forest(task: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, other) that connect what the tries of all tasks connect; both sides of a task are joined, a task of one side with itself."""
-    order = np.lexsort((fp, side, task))
-    task, side, fp, node = task[order], side[order], fp[order], node[order]
+        across = np.concatenate([np.stack([a0, am, bm, b1, errors + 1]), np.stack([am, a1, b0, bm, errors + 1])[:, ~same]], axis=1)
+        straight = np.concatenate([np.stack([a0, am, b0, bm, errors]), np.stack([am, a1, bm, b1, errors])], axis=1)
+        for children in (across, straight):  # the likelier links are walked first
+            a0, a1, b0, b1, e = children
+            on = (a1 > a0) & (b1 > b0) & (e <= keys[k].budget) & ~((a0 == b0) & (a1 - a0 == 1))
+            if on.any():
+                work.append((level + 1, np.stack([a0, a1, b0, b1], axis=1)[on], e[on]))
+
+
+def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, other) that connect what the tries of all tasks connect.
+
+    A task of side 0 is joined with itself, sides 1 and 2 of a task with each other.
+    """
+    order = np.lexsort((*(k.values for k in reversed(keys)), side, task))
+    task, side, node = task[order], side[order], node[order]
+    keys = [k._replace(values=k.values[order]) for k in keys]
+    ids, at = np.unique(node, return_inverse=True)
+    parent = np.arange(len(ids))
+    # equal keys are one leaf
+    new = np.r_[True, (np.diff(task) != 0) | (np.diff(side) != 0) | np.logical_or.reduce([k.values[1:] != k.values[:-1] for k in keys])]
+    if not new.all():
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        _unite(parent, at[~new], at[lead[~new]])
+        task, side, at, keys = task[new], side[new], at[new], [k._replace(values=k.values[new]) for k in keys]
     first = np.flatnonzero(np.r_[True, (np.diff(task) != 0) | (np.diff(side) != 0)])
     last = np.r_[first[1:], len(task)]
     own = (side[first] == 0) & (last - first > 1)
-    pairs = [np.stack([first[own], last[own], first[own], last[own]], axis=1)]
-    # sorted as they are, the second side of a task follows its first
     left = np.flatnonzero((side[first[:-1]] == 1) & (side[first[1:]] == 2) & (task[first[:-1]] == task[first[1:]]))
-    pairs.append(np.stack([first[left], last[left], first[left + 1], last[left + 1]], axis=1))
-    ids, at = np.unique(node, return_inverse=True)
-    parent = np.arange(len(ids))
-    for i, j in trie_pairs(fp, np.concatenate(pairs), budget):
-        _unite(parent, at[i], at[j])
+    pairs = [np.stack([first[own], last[own], first[own], last[own]], axis=1), np.stack([first[left], last[left], first[left + 1], last[left + 1]], axis=1)]
+    trie_join(keys, np.concatenate(pairs), parent, at)
     root = _find(parent, np.arange(len(ids)))
     moved = root != np.arange(len(ids))
     return ids[moved], ids[root[moved]]
@@ -173,7 +206,7 @@ def links(nodes: DataFrame, budget: int, group: int = GROUP) -> DataFrame:
         if held:
             whole = pa.concat_tables(held)
             task, side, fp, node = (whole.column(c).to_numpy() for c in ("task", "side", "fp", "node"))
-            u, v = forest(task, side, fp.view(np.uint64), node, budget)
+            u, v = forest(task, side, node, [Segment(fp.view(np.uint64), 64, budget)])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return tasks.select("task", "side", "fp", "node").repartition("task").mapInArrow(run, "u long, v long")
@@ -214,17 +247,107 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the pipeline's stage: words of a shingle, and differing bits.
-STAGE_SHINGLE, STAGE_BUDGET = 5, 3
+# Wide fingerprints: for a similarity that a few bits of 64 can't tell.
+
+#: Words of a shingle and the Jaccard similarity that the wide form aims at. At 0.8 about 15 % of the bits differ.
+WIDE_SHINGLE = 5
+#: Short fingerprints of 32 bits, and how many bits of one may differ: similar pairs meet in one of them.
+SHORTS, SHORT_BUDGET = 20, 2
+#: Bits of a further fingerprint of 128 that may differ, which decides: 0.8 gives 19 on average and 0.6 gives 28.
+WIDE_BUDGET = 24
+LONGS = SHORTS // 2 + 2
+
+
+def _majority(words: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the rows of words (rows x longs), by carry-save addition of whole words."""
+    n, planes, total = len(words), [words], np.zeros((words.shape[1], 64), np.int64)
+    weight = 0
+    while planes:
+        now, above = planes.pop(), []
+        while len(now) > 2:
+            k = len(now) // 3
+            a, b, c, rest = now[:k], now[k : 2 * k], now[2 * k : 3 * k], now[3 * k :]
+            half = a ^ b
+            above.append((a & b) | (c & half))
+            now = np.concatenate([half ^ c, rest])
+        total += np.unpackbits(now.astype("<u8").view(np.uint8).reshape(len(now), -1), axis=1, bitorder="little").reshape(len(now), -1, 64).sum(axis=0, dtype=np.int64) << weight
+        weight += 1
+        if above:
+            planes.append(np.concatenate(above))
+    return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, longs: int = LONGS) -> np.ndarray:
+    """SimHash of 64 * longs bits; a shingle's further bits are mixed from its XXH64."""
+    hashes = _shingles(text, shingle)
+    if not len(hashes):
+        return np.zeros(longs, np.uint64)
+    x = hashes[:, None] + np.arange(longs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return _majority(x)
+
+
+def wide_fingerprints(df: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(id, text) to (id, w), w an array of LONGS longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_py(), shingle).view(np.int64).tolist() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "w"])
+
+    return df.select("id", "text").mapInArrow(run, "id long, w array<long>")
+
+
+def wide_links(nodes: DataFrame, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
+    """(node, w) to a forest (u, v) of nodes whose short fingerprints nearly agree somewhere and whose 128 further bits do within budget.
+
+    A trie's key is a short fingerprint and then the further bits, so the walk prunes by the one budget first and by the other below.
+    """
+    shorts = [F.shiftrightunsigned(F.col("w")[k // 2], 32 * (k % 2)).bitwiseAND(0xFFFFFFFF) for k in range(SHORTS)]
+    blocks = [(0, 11), (11, 11), (22, 10)]
+    deals = [F.struct(F.lit(3 * k + i).alias("block"), F.shiftrightunsigned(s, shift).bitwiseAND((1 << width) - 1).alias("key"), s.alias("short")) for k, s in enumerate(shorts) for i, (shift, width) in enumerate(blocks)]
+    dealt = nodes.select("node", F.col("w")[LONGS - 2].alias("c0"), F.col("w")[LONGS - 1].alias("c1"), F.explode(F.array(*deals)).alias("d")).select("node", "c0", "c1", "d.*")
+    hot = cut(dealt.groupBy("block", "key").count().where(F.col("count") > group).withColumn("parts", F.ceil(F.col("count") / group).cast("int")).drop("count"))
+    if hot.isEmpty():
+        tasks = dealt.withColumn("side", F.lit(0)).withColumn("task", F.xxhash64("block", "key"))
+    else:
+        # a common block value is dealt to parts, and every two parts to a task of their own
+        found = dealt.join(hot, ["block", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        found = found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+        tasks = found.withColumn("side", side).withColumn("task", F.xxhash64("block", "key", F.least("part", "other"), F.greatest("part", "other")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if held:
+            whole = pa.concat_tables(held)
+            task, side, node, short, c0, c1 = (whole.column(c).to_numpy() for c in ("task", "side", "node", "short", "c0", "c1"))
+            keys = [Segment(short.view(np.uint64), 32, SHORT_BUDGET), Segment(c0.view(np.uint64), 64, SHORT_BUDGET + budget), Segment(c1.view(np.uint64), 64, SHORT_BUDGET + budget)]
+            u, v = forest(task, side, node, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return tasks.select("task", "side", "node", "short", "c0", "c1").repartition("task").mapInArrow(run, "u long, v long")
+
+
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
+    """(id, component_id) of the rows whose id isn't null: the least id reached through texts of similar shingles."""
+    prints = cut(wide_fingerprints(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null"), shingle))
+    nodes = cut(prints.groupBy("w").agg(F.min("id").alias("node")))
+    found = components(wide_links(nodes, budget, group))
+    named = nodes.join(found, "node", "left").select("w", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, "w").select(F.col("id").alias(id), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group of near duplicates the document with the smallest doc_id stays.
+    """Pipeline: of each group of near duplicates (five-word shingles, similarity of about 0.8) the document with the smallest doc_id stays.
 
-    A document without text says nothing of its likeness to others and stays, as does one whose doc_id is null.
+    A text without words says nothing of its likeness to others, so its document stays, as does one whose doc_id is null.
     """
-    blank = F.coalesce(F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " ")), F.lit("")) == ""
-    found = near_duplicates(docs.where(~blank), shingle=STAGE_SHINGLE, budget=STAGE_BUDGET)
+    blank = words(F.col("text")) == 0
+    found = similar(docs.where(~blank))
     n = unused(docs, "leaves")
-    leaving = found.where("component_id <> doc_id").select("doc_id", F.lit(True).alias(n["leaves"])).distinct()
-    return docs.join(leaving, "doc_id", "left").where(F.col(n["leaves"]).isNull()).select(docs.columns)
+    leaving = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias(n["leaves"])).distinct())
+    sent = F.broadcast(leaving) if leaving.count() <= SENT_ROWS else leaving
+    return docs.join(sent, docs["doc_id"] == sent[n["leaves"]], "left_anti")
