@@ -125,7 +125,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
     taken = uses(sized.where("size > 0")).select("doc_id", "position", "epoch", "taken", "size", "row")
     still = sized.where("size = 0").select("doc_id", F.lit(None).cast("double").alias("position"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("taken"), "size", "row")
-    head = F.call_function("regexp_extract", F.col("row.text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*+){0,"), F.col("taken"), F.lit("}")), F.lit(0))
+    # cut between a word and white space; a repeated group in one pattern would overflow the stack on long texts
+    pieces = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("taken").cast("int")), "")
     text = F.when(F.col("taken") < F.col("size"), head).otherwise(F.col("row.text"))
     rows = taken.unionByName(still).select("position", "epoch", *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
     return rows.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "epoch").select(docs.columns)

@@ -147,13 +147,14 @@ def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: n
         np.cumsum((keys[k].values >> np.uint64(bit)) & np.uint64(1), out=ones[1:])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         same = a0 == b0
-        across = np.concatenate([np.stack([a0, am, bm, b1, errors + 1]), np.stack([am, a1, b0, bm, errors + 1])[:, ~same]], axis=1)
-        straight = np.concatenate([np.stack([a0, am, b0, bm, errors]), np.stack([am, a1, bm, b1, errors])], axis=1)
-        for children in (across, straight):  # the likelier links are walked first
-            a0, a1, b0, b1, e = children
-            on = (a1 > a0) & (b1 > b0) & (e <= keys[k].budget) & ~((a0 == b0) & (a1 - a0 == 1))
-            if on.any():
-                work.append((level + 1, np.stack([a0, a1, b0, b1], axis=1)[on], e[on]))
+        children = np.concatenate([
+            np.stack([a0, am, b0, bm, errors]), np.stack([am, a1, bm, b1, errors]),
+            np.stack([a0, am, bm, b1, errors + 1]), np.stack([am, a1, b0, bm, errors + 1])[:, ~same],
+        ], axis=1)
+        a0, a1, b0, b1, errors = children
+        on = (a1 > a0) & (b1 > b0) & (errors <= keys[k].budget) & ~((a0 == b0) & (a1 - a0 == 1))
+        # all pairs of a level go on together, so a level's counts of ones are made once
+        work.append((level + 1, np.stack([a0, a1, b0, b1], axis=1)[on], errors[on]))
 
 
 def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
