@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.shared import table, unused
+from marginalia.llm.shared import small_batches, table, unused
 
 #: Longer pieces leave the matrices for the flat form.
 LONG = 256
 #: Cells of one matrix at most.
 CELLS = 1 << 20
 #: Pieces a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Pieces held at once for one text.
 STRETCH = 200_000
 NONE = np.int64(1 << 40)
@@ -318,6 +318,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents with their token ids and the digest of what these decode to."""
+    small_batches(spark)
     names = unused(docs, "token_ids", "decoded")
     path, pattern = default_files()
     ids = encode_documents(docs, path, pattern, out=names["token_ids"])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.components import components
-from marginalia.llm.shared import cut, table, unused, words
+from marginalia.llm.shared import cut, small_batches, table, unused, words
 
 SEED = 42
 #: Fingerprints that share a block value before its trie is cut deeper.
@@ -346,6 +346,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text without words says nothing of its likeness to others, so its document stays, as does one whose doc_id is null.
     """
+    small_batches(spark)
     blank = words(F.col("text")) == 0
     found = similar(docs.where(~blank))
     n = unused(docs, "leaves")

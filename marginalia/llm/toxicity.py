@@ -131,7 +131,7 @@ class Lexicon(dict):
         self.stems = {w: _code(INSULT, x) for w, x in stems.items()}
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         if word in ".!?;:\n":
             code = END
