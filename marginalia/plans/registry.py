@@ -1,6 +1,402 @@
-"""The queries of the notes engine and their SQL."""
+"""The queries of the notes engine and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from marginalia.functions import predicates as P
+from marginalia.functions import text as T
+from marginalia.operators import golden, headings, repair, review, scan, speech
+from marginalia.operators.pairing import pair
+from marginalia.plans import corpus as C
+from marginalia.sources import html as H
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_SAFE = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
+_SYMBOLS = "*†‡§"
+
+
+def query(sql: str | None = None, corpus: bool = False) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with DuckDB's SQL for the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"WITH {C.SQL}{sql}" if corpus else sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Text functions
+
+
+@query(f"SELECT doc_id, {_SAFE.format('text')} AS safe, translate(text, chr(160) || chr(8239) || chr(8201) || chr(65279) || chr(8203) || chr(8288), '   ') AS clean FROM documents")
+def txt_safe_text(spark, sf_dir):
+    return C.documents(spark, sf_dir).select("doc_id", T.safe_text(F.col("text")).alias("safe"), T.clean_line(F.col("text")).alias("clean"))
+
+
+_MARKS = r"SELECT DISTINCT unnest(regexp_extract_all(text, '\[\s*\d{1,3}\s*\]|\(\s*\d{1,3}\s*\)|\[\s*[a-zA-Z]\s*\]|\(\s*[a-zA-Z]\s*\)|\*+|†+|‡+|§+')) AS raw FROM documents"
+
+
+def _marks(spark, sf_dir):
+    return C.documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(T.PLAIN_MARKER), F.lit(0))).alias("raw"))
+
+
+@query(rf"""WITH m AS ({_MARKS}) SELECT raw, trim(regexp_replace(raw, '^[\[(]\s*|\s*[\])]$', '', 'g')) AS marker,
+CASE WHEN regexp_matches(raw, '^\(\s*\d') THEN 'num_paren' WHEN regexp_matches(raw, '^\[\s*\d') THEN 'num_bracket' WHEN starts_with(raw, '(') THEN 'let_paren' WHEN starts_with(raw, '[') THEN 'let_bracket' ELSE 'symbol' END AS category,
+CASE WHEN regexp_matches(raw, '\d') THEN 'numeric' WHEN regexp_matches(raw, '(?i)[IVXLC]') THEN 'roman' WHEN regexp_matches(raw, '[A-Za-z]') THEN 'letter' ELSE 'symbol' END AS family FROM m""")
+def txt_normalize_marker(spark, sf_dir):
+    raw = F.col("raw")
+    return _marks(spark, sf_dir).distinct().select("raw", T.normalize_marker(raw).alias("marker"), T.marker_category(raw).alias("category"), T.marker_family(raw, T.normalize_marker(raw)).alias("family"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\p{Lu}')) AS upper_letters, len(regexp_extract_all(text, '\p{Ll}')) AS lower_letters FROM documents")
+def txt_letter_case(spark, sf_dir):
+    return C.documents(spark, sf_dir).select("doc_id", T.upper_letters(F.col("text")).cast("long").alias("upper_letters"), T.lower_letters(F.col("text")).cast("long").alias("lower_letters"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{4,}}'), 1) AS nth FROM documents),
+f AS (SELECT doc_id, word, min(nth) AS nth FROM w WHERE word NOT IN ({', '.join(f"'{s}'" for s in T.STOPWORDS)}) GROUP BY doc_id, word),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS k FROM f)
+SELECT doc_id, string_agg(word, ' ' ORDER BY nth) AS keywords FROM r WHERE k <= 12 GROUP BY doc_id""")
+def txt_keywords(spark, sf_dir):
+    found = C.documents(spark, sf_dir).select("doc_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+    return found.where("keywords <> ''")
+
+
+_TITLE = r"regexp_extract(html, '<title>([^<]*)', 1)"
+
+
+@query(rf"SELECT page_id, nullif(regexp_replace(regexp_replace(upper(replace({_SAFE.format(_TITLE)}, 'ß', 'ss')), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '') AS group_key FROM pages")
+def txt_group_key(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.chapter_group_key(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("group_key"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents),
+p AS (SELECT doc_id, trim(line, ' ' || chr(9) || chr(13)) AS line, nth FROM l),
+b AS (SELECT *, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY nth) AS block FROM p)
+SELECT doc_id, count(DISTINCT block) FILTER (line <> '') AS n_paragraphs, CAST(sum(length(line)) AS BIGINT) AS n_letters FROM b GROUP BY doc_id""")
+def txt_paragraphs(spark, sf_dir):
+    p = C.documents(spark, sf_dir).select("doc_id", T.paragraphs(F.col("text")).alias("p"))
+    lines = F.aggregate(F.split(F.col("text"), "\n"), F.lit(0).cast("long"), lambda s, x: s + F.length(F.trim(F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))))
+    both = C.documents(spark, sf_dir).select("doc_id", lines.alias("n_letters"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n_paragraphs")).join(both, "doc_id")
+
+
+@query(rf"""SELECT conv_id, turn, len(regexp_extract_all(text, '[a-zA-Z0-9](?:[a-zA-Z0-9''\-‐‑‘’]*[a-zA-Z0-9])?|[^a-zA-Z0-9\s]')) AS n_tokens,
+CASE WHEN {_SAFE.format('text')} = '' THEN 0 ELSE len(string_split({_SAFE.format('text')}, ' ')) END AS n_words, array_to_string(string_split({_SAFE.format('text')}, ' ')[1:10], ' ') AS first_words FROM conversations""")
+def txt_words(spark, sf_dir):
+    t = F.col("text")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.word_tokens(t)).cast("long").alias("n_tokens"), T.word_count(t).cast("long").alias("n_words"), T.first_words(t, F.lit(10)).alias("first_words"))
+
+
+@query("SELECT item_id, replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;'), chr(10), '<br>') AS html FROM benchmark")
+def txt_html_escape(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", T.html_escape(F.col("text")).alias("html"))
+
+
+# Predicates
+
+
+_NAMES = "list_filter(list_transform(string_split(t, ' '), lambda w: regexp_replace(w, '[^A-Za-z]', '', 'g')), lambda w: w <> '')"
+_CAPS = r"len(regexp_extract_all(t, '\p{Lu}'))::DOUBLE / greatest(len(regexp_extract_all(t, '\p{L}')), 1)"
+_CONNECT = "[" + ", ".join(f"'{c}'" for c in P.CONNECTORS) + "]"
+
+
+@query(rf""", t0 AS (SELECT doc_id, line_index, {_SAFE.format('text')} AS s FROM line WHERE length(text) <= 200),
+t1 AS (SELECT doc_id, line_index, s, coalesce(nullif(rtrim(regexp_replace(s, '(?:\s*(?:\(\s*\d{{1,3}}\s*\)|\[\s*\d{{1,3}}\s*\]|[⁰¹²³⁴⁵⁶⁷⁸⁹]{{1,4}}|[*†‡§]+)\s*)+$', '')), ''), s) AS t FROM t0),
+n AS (SELECT *, {_NAMES} AS names, {_CAPS} AS caps, len(regexp_extract_all(t, '\p{{L}}')) AS letters FROM t1)
+SELECT doc_id, CAST(line_index AS INTEGER) AS line_index, length(t) BETWEEN 3 AND 90 AND length(t) - length(replace(t, ',', '')) < 2 AND letters >= 3
+AND (caps >= 0.85 OR len(list_filter(names, lambda w: regexp_matches(w, '^[A-Z]'))) > 0 AND len(list_filter(names, lambda w: NOT (list_contains({_CONNECT}, lower(w)) OR regexp_matches(w, '^[A-Z]')))) = 0) AS is_part FROM n""", corpus=True)
+def prd_heading_component(spark, sf_dir):
+    return C.lines(spark, sf_dir).where("length(text) <= 200").select("doc_id", "line_index", P.is_heading_component(F.col("text")).alias("is_part"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_SAFE.format("regexp_extract(html, '<h1>([^<]*)', 1)")} AS t FROM pages),
+n AS (SELECT *, {_NAMES} AS names, {_CAPS} AS caps, len(regexp_extract_all(t, '\p{{L}}')) AS letters FROM p)
+SELECT page_id, regexp_replace(upper(t), '^\.+|\.+$', '', 'g') NOT IN ('NOTES', 'FOOTNOTES', 'ENDNOTES', 'CONTENTS') AND length(t) BETWEEN 4 AND 120 AND length(t) - length(replace(t, ',', '')) < 2 AND NOT ends_with(t, ':')
+AND (regexp_matches(t, '(?i)^CHAPTER\s+([IVXLC]{{1,12}}|\d{{1,3}})(?:\b|\s*[:.]\s*.*)$') OR regexp_matches(t, '^(?:[IVXLC]{{1,12}}|\d{{1,3}})\.?$') OR letters >= 6 AND caps >= 0.85
+OR length(t) <= 80 AND NOT ends_with(t, '.') AND len(names) >= 2 AND len(list_filter(names, lambda w: regexp_matches(w, '^[A-Z]')))::DOUBLE / greatest(len(names), 1) >= 0.7) AS is_heading FROM n""")
+def prd_chapter_heading(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", P.is_chapter_heading(F.regexp_extract("html", "<h1>([^<]*)", 1)).alias("is_heading"))
+
+
+@query(r"""
+SELECT doc_id, ord, regexp_extract(text, '^(\d{1,3})\. (.+)$', 1) AS marker, regexp_extract(text, '^(\d{1,3})\. (.+)$', 2) AS body FROM book_line WHERE ord > 1000000""", corpus=True)
+def prd_definition_line(spark, sf_dir):
+    rows = C.book_lines(spark, sf_dir).where(f"ord > {C.NOTES_AT}").where(P.is_definition(F.col("text")) & ~P.is_notes_header(F.col("text")))
+    return rows.select("doc_id", "ord", P.definition_marker(F.col("text")).alias("marker"), P.definition_body(F.col("text")).alias("body"))
+
+
+# Lines, markers, HTML
+
+
+@query("""SELECT doc_id, CAST(line_index AS INTEGER) AS line_index, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start FROM line""", corpus=True)
+def src_lines(spark, sf_dir):
+    before = W.partitionBy("doc_id").orderBy("line_index").rowsBetween(W.unboundedPreceding, -1)
+    return C.lines(spark, sf_dir).select("doc_id", "line_index", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long").alias("line_start"))
+
+
+_PLAIN = T.PLAIN_MARKER.replace("'", "''")
+_CATEGORY = r"CASE WHEN regexp_matches(raw, '^\(\s*\d') THEN 'num_paren' WHEN regexp_matches(raw, '^\[\s*\d') THEN 'num_bracket' WHEN starts_with(raw, '(') THEN 'let_paren' WHEN starts_with(raw, '[') THEN 'let_bracket' ELSE 'symbol' END"
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PLAIN}')) AS raw FROM documents), c AS (SELECT doc_id, {_CATEGORY} AS category, count(*) AS n FROM m GROUP BY ALL),
+t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total FROM c)
+SELECT doc_id, category, n, total, total >= 6 AND n >= 5 AND n >= 0.8 * total AS dominant FROM t""")
+def agg_category_dominance(spark, sf_dir):
+    marks = C.documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.PLAIN_MARKER), F.lit(0))).alias("raw"))
+    counted = marks.groupBy("doc_id", T.marker_category(F.col("raw")).alias("category")).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(W.partitionBy("doc_id")))
+    return counted.withColumn("dominant", F.expr("total >= 6 and n >= 5 and n >= 0.8 * total"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM l GROUP BY page_id""")
+def html_links(spark, sf_dir):
+    rows = H.elements(_table(spark, sf_dir, "pages").select("page_id", "html")).where("tag = 'a' and href is not null")
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_targets"))
+
+
+@query(rf"SELECT page_id, {_SAFE.format('''regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')''')} AS text FROM pages")
+def html_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", H.simple_text(F.col("html")).alias("text"))
+
+
+@query()
+def html_elements(spark, sf_dir):
+    return H.elements(_table(spark, sf_dir, "pages").select("page_id", "html")).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("start").alias("last_start"))
+
+
+@query(rf"SELECT page_id, {_SAFE.format("replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&amp;', '&'), '&quot;', chr(34))")} AS label FROM pages WHERE NOT regexp_matches(html, '<h1>[^<]*&(?:amp|quot|a|am|qu|quo|q)?<')")
+def hdg_from_html(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "html").where(~F.col("html").rlike("<h1>[^<]*&(?:amp|quot|a|am|qu|quo|q)?<"))
+    return H.headings(H.elements(pages), ["page_id"]).where("tag = 'h1'").select("page_id", "label")
+
+
+# Scan of the mini-books
+
+
+@query("SELECT doc_id // 20 AS book_id, CAST(doc_id % 20 AS INTEGER) AS chapter_index, count(*) AS n_definitions, min('Note ' || md5(doc_id || '-' || k)) AS first_text FROM numbered WHERE defined GROUP BY doc_id HAVING count(*) >= 3", corpus=True)
+def def_from_lines(spark, sf_dir):
+    rows = scan.parts(C.items(spark, sf_dir)).where("kind = 'definition' and split_rule = 'notes_header' and text rlike '^Note [0-9a-f]{32}$'")
+    found = rows.groupBy("book_id", "chapter_index").agg(F.count("*").alias("n_definitions"), F.min("text").alias("first_text"))
+    truth = C.numbered(spark, sf_dir).where("defined").groupBy("doc_id").count().where("count >= 3").select(F.expr("doc_id div 20").alias("book_id"), F.expr("int(doc_id % 20)").alias("chapter_index"))
+    return truth.join(found, ["book_id", "chapter_index"])
+
+
+@query()
+def anc_from_text(spark, sf_dir):
+    return scan.parts(C.items(spark, sf_dir)).where("kind = 'anchor'").groupBy("book_id", "chapter_index").agg(F.count("*").alias("n_anchors"), F.count_distinct("marker").alias("n_markers"))
+
+
+@query(r"""SELECT doc_id, CAST(min(ord) AS BIGINT) AS header_ord FROM book_line WHERE regexp_matches(text, '(?i)^\s*(?:FOOTNOTES|FOOTNOTES\s+AND\s+ENDNOTES|ENDNOTES|NOTES)\s*$') GROUP BY doc_id""", corpus=True)
+def spl_notes_header(spark, sf_dir):
+    return C.book_lines(spark, sf_dir).where(P.is_notes_header(F.col("text"))).groupBy("doc_id").agg(F.min("ord").alias("header_ord"))
+
+
+@query()
+def scan_note_rows(spark, sf_dir):
+    return scan.scan(C.items(spark, sf_dir)).select("book_id", "chapter_index", "marker", "position", "match_method", "confidence_score", "confidence", "suggested_definition", "order_key", "marker_profile")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, paired rows and rows to review of each chapter of the mini-books."""
+    return review.chapter_summary(scan.scan(C.items(spark, sf_dir)), ["book_id", "chapter_index"])
+
+
+# Pairing
+
+
+@query("""SELECT a.book_id, a.chapter_index, CAST(a.anchor_ord AS VARCHAR) AS marker, CASE WHEN d.text IS NULL THEN 'none' ELSE 'marker_unique' END AS match_method, CASE WHEN d.text IS NULL THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence_score,
+d.text AS suggested_definition, CAST(a.chapter_index AS BIGINT) * 1000000000 + a.position AS order_key FROM anchor a LEFT JOIN definition d ON a.book_id = d.book_id AND a.chapter_index = d.chapter_index AND a.anchor_ord = d.def_ord""", corpus=True)
+def pair_marker(spark, sf_dir):
+    rows = pair(C.anchors(spark, sf_dir), C.definitions(spark, sf_dir))
+    return rows.select("book_id", "chapter_index", "marker", "match_method", "confidence_score", "suggested_definition", "order_key")
+
+
+@query(""", a AS (SELECT *, (anchor_ord - 1) % 5 + 1 AS m FROM anchor), d AS (SELECT *, (def_ord - 1) % 5 + 1 AS m FROM definition),
+ar AS (SELECT *, row_number() OVER (PARTITION BY doc_id, m ORDER BY anchor_ord) AS nth, count(*) OVER (PARTITION BY doc_id, m) AS total FROM a),
+dr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, m ORDER BY def_ord) AS nth, count(*) OVER (PARTITION BY doc_id, m) AS n FROM d),
+nd AS (SELECT doc_id, m, max(n) AS n FROM dr GROUP BY doc_id, m)
+SELECT ar.book_id, ar.chapter_index, CAST(ar.m AS VARCHAR) AS marker, CAST(ar.anchor_ord AS INTEGER) AS anchor_ord, CASE WHEN ar.total <= nd.n THEN 'marker_order' ELSE 'marker_order_low' END AS match_method, dr.text AS suggested_definition
+FROM ar JOIN nd USING (doc_id, m) JOIN dr USING (doc_id, m, nth) WHERE nd.n > 1""", corpus=True)
+def pair_order(spark, sf_dir):
+    rows = pair(C.anchors(spark, sf_dir, 5), C.definitions(spark, sf_dir, 5)).where("match_method in ('marker_order', 'marker_order_low')")
+    return rows.select("book_id", "chapter_index", "marker", "anchor_ord", "match_method", "suggested_definition")
+
+
+@query()
+def pair_sequence(spark, sf_dir):
+    from marginalia.operators.pairing import with_sequence
+
+    return with_sequence(C.anchors(spark, sf_dir, 7)).groupBy("book_id", "chapter_index").agg(F.count_if(F.col("in_seq")).alias("in_sequence"), F.count("*").alias("n"))
+
+
+_KW = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]{{4,}}'), lambda w: NOT list_contains([" + ", ".join(f"'{s}'" for s in T.STOPWORDS) + "], w)))"
+
+
+@query(f"""WITH p AS (SELECT a.doc_id AS a_id, b.item_id AS b_id, list_intersect({_KW.format('substring(a.text, 1, 400)')}, {_KW.format('b.text')}) AS common FROM documents a, benchmark b WHERE a.doc_id % 20 = b.item_id % 20)
+SELECT a_id, b_id, len(common) AS shared FROM p WHERE len(common) > 0""")
+def pair_overlap(spark, sf_dir):
+    a = C.documents(spark, sf_dir).select(F.col("doc_id").alias("a_id"), F.expr("doc_id % 20").alias("bucket"), T.keywords(F.substring("text", 1, 400), 4, None).alias("kw"))
+    b = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b_id"), F.expr("item_id % 20").alias("bucket"), T.keywords(F.col("text"), 4, None).alias("kb"))
+    both = a.join(b, "bucket").select("a_id", "b_id", F.size(F.array_intersect("kw", "kb")).cast("long").alias("shared"))
+    return both.where("shared > 0")
+
+
+@query("""SELECT l.doc_id, CAST(l.line_index AS BIGINT) AS position, arg_max(h.label, h.pos) AS label FROM line l JOIN heading h ON h.doc_id = l.doc_id AND h.pos <= l.line_index GROUP BY ALL""", corpus=True)
+def asof_heading(spark, sf_dir):
+    points = C.lines(spark, sf_dir).select("doc_id", F.col("line_index").cast("long").alias("position"))
+    return headings.last_heading(points, C.headings(spark, sf_dir), ["doc_id"])
+
+
+@query(""", m AS (SELECT a.book_id, a.chapter_index, CAST(a.anchor_ord AS VARCHAR) AS marker FROM anchor a LEFT JOIN definition d ON a.doc_id = d.doc_id AND a.anchor_ord = d.def_ord WHERE d.text IS NULL),
+c AS (SELECT m.*, d.text, d.chapter_index AS origin_index, row_number() OVER (PARTITION BY m.book_id, m.chapter_index, m.marker ORDER BY CASE WHEN abs(d.chapter_index - m.chapter_index) <= 2 THEN 1 ELSE 2 END, abs(d.chapter_index - m.chapter_index), d.chapter_index) AS k
+FROM m JOIN definition d ON m.book_id = d.book_id AND m.marker = CAST(d.def_ord AS VARCHAR) AND abs(d.chapter_index - m.chapter_index) <= 8)
+SELECT book_id, chapter_index, marker, text, origin_index FROM c WHERE k = 1""", corpus=True)
+def import_global(spark, sf_dir):
+    defs = C.definitions(spark, sf_dir)
+    missing = C.anchors(spark, sf_dir).join(defs, ["book_id", "chapter_index", "marker"], "left_anti").select("book_id", "chapter_index", "marker", "chapter_group")
+    others = defs.select("book_id", "marker", "text", F.lit(None).cast("string").alias("chapter_group"), F.col("chapter_index").alias("origin_index"), "def_ord")
+    return headings.nearest_definitions(missing, others)
+
+
+# Repair
+
+
+@query("""SELECT book_id, chapter_index, CAST(anchor_ord AS VARCHAR) AS marker, position FROM anchor""", corpus=True)
+def dedupe_anchors(spark, sf_dir):
+    a = C.anchors(spark, sf_dir)
+    twice = a.unionByName(a.where("anchor_ord % 3 = 0").withColumn("anchor_ord", F.col("anchor_ord") + 1000))
+    return repair.distinct_anchors(twice).select("book_id", "chapter_index", "marker", "position")
+
+
+@query("""SELECT book_id, chapter_index, CAST(anchor_ord AS VARCHAR) AS marker, CAST(sum(CASE WHEN anchor_ord % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS links, count(*) AS n FROM anchor GROUP BY ALL""", corpus=True)
+def dedupe_links(spark, sf_dir):
+    a = C.anchors(spark, sf_dir)
+    links = a.where("anchor_ord % 3 = 0").withColumn("href", F.concat(F.lit("#n"), "marker")).withColumn("position", F.col("position") + 10)
+    kept = repair.without_link_copies(a.unionByName(links))
+    return kept.groupBy("book_id", "chapter_index", "marker").agg(F.count_if(F.col("href").isNotNull()).alias("links"), F.count("*").alias("n"))
+
+
+@query("""SELECT d.book_id, d.chapter_index, CAST(d.def_ord AS VARCHAR) AS marker, d.text AS suggested_definition FROM definition d LEFT JOIN anchor a ON a.doc_id = d.doc_id AND a.anchor_ord = d.def_ord
+JOIN anchor b ON b.doc_id = d.doc_id AND b.anchor_ord = d.def_ord - 1 JOIN anchor c ON c.doc_id = d.doc_id AND c.anchor_ord = d.def_ord + 1 WHERE a.text IS NULL""", corpus=True)
+def orphans(spark, sf_dir):
+    return repair.orphans(C.anchors(spark, sf_dir), C.definitions(spark, sf_dir)).select("book_id", "chapter_index", "marker", "suggested_definition")
+
+
+@query()
+def recover(spark, sf_dir):
+    seen = C.anchors(spark, sf_dir).where("anchor_ord % 6 <> 0")  # the others stand in the text and were missed
+    found = repair.orphans(seen, C.definitions(spark, sf_dir))
+    return repair.recovered(found, C.items(spark, sf_dir).select("book_id", "chapter_index", "text")).select("book_id", "chapter_index", "marker", "position", "match_method", "confidence_score")
+
+
+@query(""", r AS (SELECT doc_id, book_id, chapter_index, anchor_ord, anchor_ord % 13 = 0 AS odd FROM anchor),
+g AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, count(*) FILTER (odd) OVER (PARTITION BY doc_id) AS odds, count(*) OVER (PARTITION BY book_id) AS btotal, count(*) FILTER (odd) OVER (PARTITION BY book_id) AS bodds FROM r)
+SELECT book_id, chapter_index, CAST(anchor_ord AS INTEGER) AS anchor_ord, CAST(CASE WHEN odd AND (CASE WHEN total >= 5 AND total - odds >= 0.7 * total THEN odds <= 2 OR odds::DOUBLE / total <= 0.2
+ ELSE btotal >= 10 AND btotal - bodds >= 0.75 * btotal AND NOT (total >= 5 AND odds >= 0.7 * total) AND (bodds <= 2 OR bodds::DOUBLE / btotal <= 0.2) END) THEN 0.55 ELSE 0.9 END AS DOUBLE) AS confidence_score FROM g""", corpus=True)
+def penalty_outlier(spark, sf_dir):
+    rows = C.anchors(spark, sf_dir).withColumn("marker", F.when(F.expr("anchor_ord % 13 = 0"), "*").otherwise(F.col("marker"))).withColumn("marker_raw", F.col("marker"))
+    rows = rows.withColumn("source", F.lit("text")).withColumn("match_method", F.lit("marker_unique")).withColumn("confidence", F.lit("High (Marker Match)")).withColumn("confidence_score", F.lit(0.9)).withColumn("order_key", F.col("position"))
+    return repair.outlier_penalty(rows).select("book_id", "chapter_index", "anchor_ord", "confidence_score")
+
+
+@query(""", f AS (SELECT doc_id, ord, CASE WHEN regexp_matches(text, '^\\d{1,3}\\. ') THEN 'numeric' END AS family, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS line FROM book_line),
+d AS (SELECT doc_id, line, family, count(family) OVER (PARTITION BY doc_id ORDER BY line RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS near FROM f WHERE ord > 1000000)
+SELECT doc_id, count(*) AS clustered FROM (SELECT doc_id, line, max(near) OVER (PARTITION BY doc_id ORDER BY line RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS best FROM d WHERE family IS NOT NULL) WHERE best >= 4 GROUP BY doc_id""", corpus=True)
+def profile_cluster(spark, sf_dir):
+    rows = C.book_lines(spark, sf_dir).withColumn("line", F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))).where(f"ord > {C.NOTES_AT}").where(P.is_definition(F.col("text")))
+    by_line = W.partitionBy("doc_id").orderBy("line")
+    near = rows.withColumn("near", F.count("*").over(by_line.rangeBetween(0, 49))).withColumn("best", F.max("near").over(by_line.rangeBetween(-49, 0)))
+    return near.where("best >= 4").groupBy("doc_id").agg(F.count("*").alias("clustered"))
+
+
+# Review
+
+
+def _review_rows(spark, sf_dir):
+    """Note rows of the mini-books in chapters of three items, with labels by arithmetic."""
+    rows = pair(C.anchors(spark, sf_dir), C.definitions(spark, sf_dir)).withColumn("source", F.lit("epub")).withColumn("id", (F.col("chapter_index") * 1000 + F.col("anchor_ord")).cast("long"))
+    rows = rows.withColumn("position", F.col("position") + F.col("chapter_index") * 100_000_000)  # one coordinate for the book: a line that two items share is no duplicate
+    label = F.concat(F.lit("CHAPTER "), F.expr("chapter_index div 3 + 1").cast("string"), F.when(F.expr("anchor_ord % 4 = 0"), F.lit(". Long title")).otherwise(""))
+    return rows.withColumn("chapter_label", F.when(F.expr("anchor_ord % 5 <> 0"), label)).withColumn("chapter_group", F.concat(F.lit("G"), F.expr("chapter_index div 3").cast("string")))
+
+
+@query(""", p AS (SELECT a.*, d.text AS found FROM anchor a LEFT JOIN definition d ON a.doc_id = d.doc_id AND a.anchor_ord = d.def_ord)
+SELECT book_id, 'epub:G' || (chapter_index // 3) AS chapter_key, count(*) AS n_rows, count(found) AS paired, count(*) - count(found) AS needs_review FROM p GROUP BY ALL""", corpus=True)
+def review_summary(spark, sf_dir):
+    return review.chapter_summary(review.reviewed(_review_rows(spark, sf_dir)), ["book_id", "chapter_key"])
+
+
+@query(""", r AS (SELECT *, chapter_index // 3 AS g, CASE WHEN anchor_ord % 5 <> 0 THEN 'CHAPTER ' || (chapter_index // 3 + 1) || CASE WHEN anchor_ord % 4 = 0 THEN '. Long title' ELSE '' END END AS label FROM anchor)
+SELECT book_id, 'epub:G' || g AS chapter_key, coalesce(arg_min(label, (-length(label), chapter_index, position)) FILTER (label IS NOT NULL), 'Spine ' || arg_min(chapter_index, (chapter_index, position)) || ': Item ' || arg_min(chapter_index, (chapter_index, position))) AS label FROM r GROUP BY book_id, g""", corpus=True)
+def review_best_label(spark, sf_dir):
+    return review.best_labels(review.reviewed(_review_rows(spark, sf_dir)), ["book_id", "chapter_key"])
+
+
+@query("""SELECT book_id, 'epub:G' || (chapter_index // 3) AS chapter_key, CAST(anchor_ord AS VARCHAR) AS marker, chapter_index, CAST(row_number() OVER (PARTITION BY book_id, chapter_index // 3 ORDER BY chapter_index, position) AS INTEGER) AS row_number FROM anchor""", corpus=True)
+def review_order(spark, sf_dir):
+    return review.in_order(review.reviewed(_review_rows(spark, sf_dir)), ["book_id", "chapter_key"]).select("book_id", "chapter_key", "marker", "chapter_index", "row_number")
+
+
+@query("""SELECT book_id, 'epub:G' || (chapter_index // 3) AS chapter_key, CAST(row_number() OVER (PARTITION BY book_id ORDER BY min(chapter_index)) AS INTEGER) AS chapter_number FROM anchor GROUP BY book_id, chapter_index // 3""", corpus=True)
+def review_chapters(spark, sf_dir):
+    return review.chapter_order(review.reviewed(_review_rows(spark, sf_dir))).select("book_id", "chapter_key", "chapter_number")
+
+
+@query("""WITH h AS (SELECT doc_id, len(string_split(lower(text), 'the')) - 1 AS hits, length(string_split(lower(text), 'the')[1]) AS first FROM documents) SELECT doc_id, CAST(hits AS BIGINT) AS hits, CAST(first AS BIGINT) AS first_offset FROM h WHERE hits > 0""")
+def search_all(spark, sf_dir):
+    hits = review.occurrences(C.documents(spark, sf_dir).select("doc_id", "text"), "the")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("offset").alias("first_offset"))
+
+
+@query("""SELECT 'epub:B' || book_id || 'G' || (chapter_index // 3) AS chapter_key, count(*) AS n FROM anchor WHERE anchor_ord % 10 = 0 GROUP BY ALL""", corpus=True)
+def golden_diff(spark, sf_dir):
+    rows = _review_rows(spark, sf_dir)
+    rows = rows.withColumn("chapter_group", F.concat(F.lit("B"), F.col("book_id").cast("string"), "chapter_group"))
+    other = rows.withColumn("context", F.when(F.expr("anchor_ord % 10 = 0"), F.concat("context", F.lit("!"))).otherwise(F.col("context")))
+    return golden.differences(rows, other).where(F.array_contains("columns", "context")).groupBy("chapter_key").agg(F.count("*").alias("n"))
+
+
+# Speech and state
+
+
+@query("""WITH t AS (SELECT conv_id, turn, length(text) * 1200 AS samples FROM conversations), c AS (SELECT *, sum(samples) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM t)
+SELECT conv_id, turn, CAST(round((upto - samples) * 1000.0 / 24000) AS BIGINT) AS start_ms, CAST(round(upto * 1000.0 / 24000) AS BIGINT) AS end_ms FROM c""")
+def speech_offsets(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("seq"), (F.length("text") * 1200).cast("long").alias("samples"))
+    return speech.timed(rows, ["conv_id"]).select("conv_id", "turn", "start_ms", "end_ms")
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, {_SAFE.format('text')} AS s FROM conversations), w AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE len(string_split(s, ' ')) END AS n FROM t),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+SELECT conv_id, turn, CAST(least(n, 60 - before) AS BIGINT) AS n_words FROM b WHERE before < 60""")
+def speech_word_budget(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return speech.within_budget(rows, ["conv_id"], ["turn"], 60).select("conv_id", "turn", F.col("n_words").cast("long").alias("n_words"))
+
+
+@query()
+def speech_segments(spark, sf_dir):
+    items = C.items(spark, sf_dir).select("book_id", "chapter_index", "text")
+    rows = scan.scan(items).select("book_id", "chapter_index", "position", "marker", "marker_raw", "suggested_definition")
+    return speech.segments(items, rows).groupBy("book_id", "chapter_index", "voice_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("SELECT user_id AS book_id, max(CAST(floor(value * 1000) AS BIGINT)) AS position_ms FROM events GROUP BY user_id")
+def state_position_max(spark, sf_dir):
+    from marginalia.streaming.progress import furthest
+
+    return furthest(_table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), F.floor(F.col("value") * 1000).cast("long").alias("position_ms")))
