@@ -127,8 +127,8 @@ class Vocabulary:
                 at = ranks.argmin(axis=1)
                 least = ranks[np.arange(len(rows)), at]
                 done = least == NONE
-            for r in np.flatnonzero(done):
-                out[rows[r]] = ids[r, : lengths[r]].tolist()
+            for i, row, n in zip(rows[done].tolist(), ids[done].tolist(), lengths[done].tolist(), strict=True):
+                out[i] = row[:n]
             if done.all():
                 break
             on = ~done
@@ -180,29 +180,36 @@ class Codec:
         while some := list(islice(found, STRETCH)):
             yield some
 
-    def learn(self, pieces: Iterable[str]) -> None:
+    def learn(self, pieces: Iterable[str]) -> list[str]:
+        """The pieces that were new."""
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(pieces)
         self.known.update(zip(new, self.vocabulary.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
+        return new
+
+    def forget(self, new: list[str]) -> None:
+        """Lets go of the newest pieces when there are too many; what was met early is what is met often."""
+        if len(self.known) > REMEMBERED:
+            for p in new:
+                self.known.pop(p, None)
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[Iterator[list[int]]]:
-        """For each text its ids, a stretch at a time."""
+        """For each text its ids, a stretch at a time; to be used up in order."""
         short = [self.pattern.findall(t) if t and len(t) <= STRETCH else None for t in texts]
-        self.learn(set(chain.from_iterable(x for x in short if x)))
+        new = self.learn(set(chain.from_iterable(x for x in short if x)))
         for text, pieces in zip(texts, short, strict=True):
             yield self._stretched(text, pieces)
+        self.forget(new)
 
     def _stretched(self, text: str | None, pieces: list[str] | None) -> Iterator[list[int]]:
         if not text:
             return
-        for some in [pieces] if pieces is not None else self.stretches(text):
-            try:
-                yield list(chain.from_iterable(map(self.known.__getitem__, some)))
-            except KeyError:  # a long text, or the memory was cleared meanwhile
-                self.learn(set(some))
-                yield list(chain.from_iterable(map(self.known.__getitem__, some)))
+        if pieces is not None:
+            yield list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+            return
+        for some in self.stretches(text):
+            new = self.learn(set(some))
+            yield list(chain.from_iterable(map(self.known.__getitem__, some)))
+            self.forget(new)
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(next(self.encode_batch([text]))))
