@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marginalia.llm.shared import cut, scratch, table
+from marginalia.llm.shared import cut, scratch, table, unused
 
 #: Rows whose 8-byte keys or locators may be sent to every executor.
 SENT_ROWS = 100_000
@@ -58,14 +58,15 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(df: DataFrame) -> DataFrame:
-    """df with `file` and `row`, where each row's content lies; rows of no file are written to the shared folder first."""
+def located(df: DataFrame, at: str) -> DataFrame:
+    """df with `at` (file, row), where each row's content lies; rows of no file are written to the shared folder first."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(at)
     try:
-        return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.select("*", place)
     except AnalysisException:
         path = scratch(df.sparkSession, "contents")
         df.write.parquet(path)
-        return df.sparkSession.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.sparkSession.read.parquet(path).select("*", place)
 
 
 def keep(arrivals: DataFrame) -> DataFrame:
@@ -97,10 +98,15 @@ def _among(df: DataFrame, wanted: DataFrame, on: str, n: int) -> DataFrame:
     return df.join(F.broadcast(wanted) if n <= SENT_ROWS else wanted, on, "left_semi")
 
 
-def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", digest=sha256, batch: int = BATCH) -> DataFrame:
-    """(file, row, id, digest, keep, n) of every row of df; keep: struct of id, file and row of the one that stays."""
+def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", at: str | None = None, digest=sha256, batch: int = BATCH) -> DataFrame:
+    """(file, row, id, digest, keep, n) of every row of df; keep: struct of id, file and row of the one that stays.
+
+    at: column with the rows' places, where df has been located already.
+    """
     spark = df.sparkSession
-    rows = located(df.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).withColumn("digest", digest(F.col("text")))
+    if at is None:
+        df, at = located(df.select(id, text), "_at"), "_at"
+    rows = df.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(at).alias("at")).select("id", "text", "at.*").withColumn("digest", digest(F.col("text")))
     path = scratch(spark, "arrivals")
     rows.drop("text").write.parquet(f"{path}/rows")
     arrivals = spark.read.parquet(f"{path}/rows")
@@ -140,11 +146,12 @@ def op5_stateful_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of equal texts the document with the largest doc_id stays."""
-    rows = located(docs)
-    found = deduplicated(docs)
-    leaving = cut(found.where("file <> keep.file or row <> keep.row").select("file", "row"))
+    at = unused(docs, "_at")["_at"]
+    rows = located(docs, at)
+    found = deduplicated(rows, at=at)
+    leaving = cut(found.where("file <> keep.file or row <> keep.row").select(F.struct("file", "row").alias(at)))
     sent = F.broadcast(leaving) if leaving.count() <= SENT_ROWS else leaving
-    return rows.join(sent, ["file", "row"], "left_anti").select(docs.columns)
+    return rows.join(sent, at, "left_anti").select(docs.columns)
 
 
 ORACLE_SQL = """

@@ -129,8 +129,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     head = F.array_join(F.slice(pieces, F.lit(1), F.col("taken").cast("int")), "")
     text = F.when(F.col("taken") < F.col("size"), head).otherwise(F.col("row.text"))
-    rows = taken.unionByName(still).select("position", "epoch", *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
-    return rows.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "epoch").select(docs.columns)
+    rows = taken.unionByName(still).select("position", "epoch", "doc_id", F.col("row").withField("text", text).alias("row"))
+    ordered = rows.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "epoch")
+    return ordered.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 #: DuckDB; {docs} is a relation with doc_id, source and size.

@@ -37,8 +37,8 @@ from marginalia.llm.shared import cut, small_batches, table, unused, words
 SEED = 42
 #: Fingerprints that share a block value before its trie is cut deeper.
 GROUP = 50_000
-#: Node pairs walked at once.
-FRONT = 1 << 20
+#: Node pairs walked at once; a step needs about 500 bytes for each.
+FRONT = 1 << 16
 #: Ids that may be sent to every executor.
 SENT_ROWS = 1_000_000
 
@@ -192,7 +192,7 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
 
 def links(nodes: DataFrame, budget: int, group: int = GROUP) -> DataFrame:
     """Nodes (node long, fp long), a row for each fingerprint, to a forest (u, v) of those within budget bits."""
-    dealt = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).alias("key"), F.lit((shift + width) % 64).alias("next")) for k, (shift, width) in enumerate(_blocks(budget))))).alias("b")).select("node", "fp", "b.*")
+    dealt = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1 if width < 64 else -1).alias("key"), F.lit((shift + width) % 64).alias("next")) for k, (shift, width) in enumerate(_blocks(budget))))).alias("b")).select("node", "fp", "b.*")
     hot = cut(dealt.groupBy("block", "key").count().where(F.col("count") > group).withColumn("deep", F.least(F.lit(14), F.ceil(F.log2(F.col("count") / group)).cast("int") + 2)))
     plain = dealt.withColumn("side", F.lit(0))
     if not hot.isEmpty():

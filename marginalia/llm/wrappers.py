@@ -229,7 +229,12 @@ def _marked(kind: str) -> int:
 
 
 def _varies(node: list, pages: int) -> bool:
-    return node[1] < 2 or node[2] != node[3] or node[1] < 0.9 * pages
+    return pages < 2 or node[1] < 2 or node[2] != node[3] or node[1] < 0.9 * pages
+
+
+def _pages(tree: list) -> int:
+    """Number of pages of a wrapper; 1 where all are copies of one."""
+    return 1 if tree[2] == tree[3] else tree[1]
 
 
 def _mass(node: list, pages: int, inside: bool = False) -> int:
@@ -240,7 +245,7 @@ def _mass(node: list, pages: int, inside: bool = False) -> int:
 
 def content_root(tree: list) -> tuple[int, ...] | None:
     """Path of child numbers to the node that holds the main text."""
-    pages = tree[1]
+    pages = _pages(tree)
     marked, plain = [], []
 
     def walk(node: list, path: tuple[int, ...]) -> None:
@@ -263,7 +268,7 @@ def content_root(tree: list) -> tuple[int, ...] | None:
 
 def chosen(tree: list, shape: Skeleton) -> list[bool]:
     """For each node of a page's skeleton, in order of walk(), whether its own text is content."""
-    root, pages = content_root(tree), tree[1]
+    root, pages = content_root(tree), _pages(tree)
     strict = root is not None and not _marked(_at(tree, root)[0])
     out: list[bool] = []
 
@@ -345,6 +350,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     continue
                 shape = Skeleton("html", [parse(text)])
                 slots = [(d, d, n, k) for d, n, k in map(_slot, shape.walk())]
+                # at the root the digest is the whole page's: pages that are copies of one another tell nothing of a template
+                whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+                slots[0] = (whole, whole, *slots[0][2:])
                 own = wrapper_of(shape, iter(map(list, slots)), 1)
                 key = (host, shape.shape())
                 if key in held:
