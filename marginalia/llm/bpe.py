@@ -260,6 +260,25 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
     return df.mapInArrow(run, schema)
 
 
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", digest: str = "decoded_sha256") -> DataFrame:
+    """df with an array of token ids for each text and the SHA-256 of what these decode to, in one pass and one worker."""
+    kept = df.drop(out, digest)
+    names = kept.columns
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), T.StructField(digest, T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for a, b in _small(batch, texts):
+                ids = [list(chain.from_iterable(x)) for x in own.encode_batch(texts[a:b])]
+                digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
+                columns = [batch.column(c).slice(a, b - a) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())], [*names, out, digest])
+
+    return df.mapInArrow(run, schema)
+
+
 def decode_documents(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the bytes of each array of token ids; a null array has none."""
     kept = df.drop(out)
@@ -324,10 +343,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the documents with their token ids and the digest of what these decode to."""
+    """Pipeline: the documents with their token ids, the number of these and the digest of what they decode to."""
     small_batches(spark)
-    names = unused(docs, "token_ids", "decoded")
-    path, pattern = default_files()
-    ids = encode_documents(docs, path, pattern, out=names["token_ids"])
-    back = decode_documents(ids, path, pattern, ids=names["token_ids"], out=names["decoded"])
-    return back.withColumn("n_tokens", F.size(names["token_ids"]).cast("long")).withColumn("decoded_sha256", F.sha2(names["decoded"], 256)).drop(names["decoded"])
+    n = unused(docs, "token_ids", "decoded_sha256", "n_tokens")
+    found = encode_and_decode(docs, *default_files(), out=n["token_ids"], digest=n["decoded_sha256"])
+    return found.withColumn(n["n_tokens"], F.size(n["token_ids"]).cast("long"))

@@ -39,6 +39,8 @@ SEED = 42
 GROUP = 50_000
 #: Node pairs walked at once; a step needs about 500 bytes for each.
 FRONT = 1 << 16
+#: Rows of tries that one partition holds, about.
+ROWS_HELD = 60_000
 #: Ids that may be sent to every executor.
 SENT_ROWS = 1_000_000
 
@@ -329,7 +331,9 @@ def wide_links(nodes: DataFrame, budget: int = WIDE_BUDGET, group: int = GROUP)
             u, v = forest(task, side, node, keys)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return tasks.select("task", "side", "node", "short", "c0", "c1").repartition("task").mapInArrow(run, "u long, v long")
+    # so many rows a partition whatever the session's settings: that is what a Python worker holds
+    parts = max(1, -(-nodes.count() * len(deals) // ROWS_HELD))
+    return tasks.select("task", "side", "node", "short", "c0", "c1").repartition(parts, "task").mapInArrow(run, "u long, v long")
 
 
 def similar(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
