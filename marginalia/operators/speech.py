@@ -87,7 +87,7 @@ def fill_gaps(words: DataFrame, paras: DataFrame, keys: list[str]) -> DataFrame:
     last = F.element_at("w", -1)
     body = F.trim(F.regexp_replace("text", "[*†‡§]+", ""))
     covered = F.rtrim(F.array_join(F.transform("w", lambda x: x["word"]), ""))
-    after = F.when(body.startswith(covered), F.substring(body, F.length(covered) + 1, F.length(body))).when(F.instr(body, F.trim(last["word"])) > 0, F.substring_index(body, F.trim(last["word"]), -1))
+    after = F.when(body.startswith(covered), F.substring(body, F.length(covered) + 1, F.length(body))).when(F.instr(body, F.trim(last["word"])) > 0, F.call_function("substring_index", body, F.trim(last["word"]), F.lit(-1)))
     rest = F.trim(after)
     gap = both.where((F.col("end_ms") - last["end_ms"] > GAP_MS) & (F.coalesce(rest, F.lit("")) != ""))
     filled = gap.select(*keys, (last["n"] + 1).alias("n"), F.concat(rest, F.lit(" ")).alias("word"), last["end_ms"].alias("start_ms"), F.col("end_ms").alias("end_ms"))
