@@ -64,17 +64,18 @@ def targets(sizes: DataFrame, repeats: int = REPEATS, weights: tuple = WEIGHTS,
 
 def placed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, source, size) to the same with source_size, target, slope and `begins`, the words before it in its source's stream."""
-    keyed = docs.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = keyed.withColumn("last", F.col("doc_id").isNull()).withColumn("bucket", F.when(F.col("last"), F.lit("g")).otherwise(F.substring("digest", 1, DIGITS)))
-    buckets = cut(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
-    sources = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), repeats)
-    earlier = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = buckets.withColumn("start", earlier).drop("words")
-    starts = starts.join(sources, starts["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    inside = W.partitionBy("source", "bucket").orderBy("digest", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    # a key without null, so that the windows and the join below need the same partitioning and the rows move once
+    keyed = docs.withColumn("key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+    keyed = keyed.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    keyed = keyed.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit("g")).otherwise(F.substring("digest", 1, DIGITS)))
+    buckets = cut(keyed.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")))
+    sources = targets(buckets.groupBy("key", "source").agg(F.sum("words").alias("source_size")), repeats).withColumn("key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+    earlier = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = buckets.withColumn("start", earlier).drop("words", "source").join(sources.drop("source"), "key")
+    inside = W.partitionBy("key", "bucket").orderBy("digest", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    both = keyed.join(starts, keyed["source"].eqNullSafe(starts["source"]) & (keyed["bucket"] == starts["bucket"])).drop(starts["source"], starts["bucket"])
-    return both.withColumn("begins", F.col("start") + F.col("inside")).drop("digest", "last", "bucket", "start", "inside")
+    both = keyed.join(starts, ["key", "bucket"])
+    return both.withColumn("begins", F.col("start") + F.col("inside")).drop("digest", "bucket", "key", "start", "inside")
 
 
 def _taken(epoch: int) -> Column:

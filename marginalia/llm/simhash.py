@@ -314,26 +314,34 @@ def wide_links(nodes: DataFrame, budget: int = WIDE_BUDGET, group: int = GROUP)
     dealt = nodes.select("node", F.col("w")[LONGS - 2].alias("c0"), F.col("w")[LONGS - 1].alias("c1"), F.explode(F.array(*deals)).alias("d")).select("node", "c0", "c1", "d.*")
     hot = cut(dealt.groupBy("block", "key").count().where(F.col("count") > group).withColumn("parts", F.ceil(F.col("count") / group).cast("int")).drop("count"))
     if hot.isEmpty():
-        tasks = dealt.withColumn("side", F.lit(0)).withColumn("task", F.xxhash64("block", "key"))
+        # task and short fingerprint in one long: these rows are most of what the stage moves
+        tasks = dealt.select(F.shiftleft(F.col("block").cast("long") * 2048 + F.col("key"), 32).bitwiseOR(F.col("short")).alias("packed"), "node", "c0", "c1")
+        by = [F.shiftrightunsigned("packed", 32)]
     else:
         # a common block value is dealt to parts, and every two parts to a task of their own
         found = dealt.join(hot, ["block", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         found = found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-        tasks = found.withColumn("side", side).withColumn("task", F.xxhash64("block", "key", F.least("part", "other"), F.greatest("part", "other")))
+        tasks = found.select(F.xxhash64("block", "key", F.least("part", "other"), F.greatest("part", "other")).alias("task"), side.alias("side"), "short", "node", "c0", "c1")
+        by = [F.col("task")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         if held:
             whole = pa.concat_tables(held)
-            task, side, node, short, c0, c1 = (whole.column(c).to_numpy() for c in ("task", "side", "node", "short", "c0", "c1"))
-            keys = [Segment(short.view(np.uint64), 32, SHORT_BUDGET), Segment(c0.view(np.uint64), 64, SHORT_BUDGET + budget), Segment(c1.view(np.uint64), 64, SHORT_BUDGET + budget)]
-            u, v = forest(task, side, node, keys)
+            column = lambda c: whole.column(c).to_numpy()
+            if "packed" in whole.column_names:
+                packed = column("packed").view(np.uint64)
+                task, short, side = (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(0xFFFFFFFF), np.zeros(len(packed), np.int8)
+            else:
+                task, short, side = column("task"), column("short").view(np.uint64), column("side")
+            keys = [Segment(short, 32, SHORT_BUDGET), Segment(column("c0").view(np.uint64), 64, SHORT_BUDGET + budget), Segment(column("c1").view(np.uint64), 64, SHORT_BUDGET + budget)]
+            u, v = forest(task, side, column("node"), keys)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     # so many rows a partition whatever the session's settings: that is what a Python worker holds
     parts = max(1, -(-nodes.count() * len(deals) // ROWS_HELD))
-    return tasks.select("task", "side", "node", "short", "c0", "c1").repartition(parts, "task").mapInArrow(run, "u long, v long")
+    return tasks.repartition(parts, *by).mapInArrow(run, "u long, v long")
 
 
 def similar(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
