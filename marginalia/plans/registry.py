@@ -400,3 +400,38 @@ def state_position_max(spark, sf_dir):
     from marginalia.streaming.progress import furthest
 
     return furthest(_table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), F.floor(F.col("value") * 1000).cast("long").alias("position_ms")))
+
+
+# HTML books: the mini-books with links
+
+
+def _html_items(spark, sf_dir):
+    """Mini-books as HTML: a paragraph for each line, anchors as links, definitions in paragraphs with ids."""
+    marks = C.numbered(spark, sf_dir)
+    body = C.lines(spark, sf_dir).join(marks.select("doc_id", "line_index", "k", "anchored"), ["doc_id", "line_index"], "left")
+    link = F.concat(F.lit('<a href="#fn'), F.col("k").cast("string"), F.lit('"><sup>'), F.col("k").cast("string"), F.lit("</sup></a>"))
+    letters = F.regexp_replace("text", "[^A-Za-z ]", "")
+    prose = body.select("doc_id", F.col("line_index").cast("long").alias("ord"), F.concat(F.lit("<p>"), letters, F.when(F.col("anchored"), link).otherwise(""), F.lit("</p>")).alias("html"))
+    notes = marks.where("defined").select("doc_id", (F.lit(C.NOTES_AT) + F.col("k")).cast("long").alias("ord"), F.concat(F.lit('<p class="footnote" id="fn'), F.col("k").cast("string"), F.lit('">'), C.note_text(), F.lit("</p>")).alias("html"))
+    packed = prose.unionByName(notes).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "html"))), lambda x: x["html"]), "").alias("html"))
+    return packed.select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter_index"), F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("chapter_name"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
+
+
+@query("""SELECT a.doc_id AS book_id, CAST(a.anchor_ord AS VARCHAR) AS marker, 'Note ' || md5(a.doc_id || '-' || a.anchor_ord) AS suggested_definition, CAST(0.98 AS DOUBLE) AS confidence_score FROM anchor a JOIN definition d ON a.doc_id = d.doc_id AND a.anchor_ord = d.def_ord""", corpus=True)
+def html_id_links(spark, sf_dir):
+    rows = H.elements(_html_items(spark, sf_dir).withColumn("file_name", F.col("chapter_name"))).persist()
+    keys = ["book_id", "chapter_index"]
+    anchors = H.anchors(rows, keys).withColumn("anchor_ord", F.col("marker").try_cast("int")).withColumn("chapter_group", F.lit(None).cast("string"))
+    ids = H.definitions(rows, ["book_id"]).select("book_id", F.lit(None).cast("string").alias("file_key"), "def_id", "text")
+    none = spark.createDataFrame([], "book_id long, chapter_index int, def_ord int, marker string, text string, char_position long")
+    found = pair(anchors, none, None, ids).where("match_method = 'id_link'")
+    return found.select("book_id", "marker", "suggested_definition", "confidence_score")
+
+
+@query()
+def scan_html_books(spark, sf_dir):
+    from marginalia.operators.epub import scan_items
+    from marginalia.session import cut
+
+    toc = spark.createDataFrame([], "book_id long, ord int, file_base string, label string, fragment string")
+    return scan_items(cut(_html_items(spark, sf_dir)), toc).groupBy("book_id", "match_method").agg(F.count("*").alias("n"))

@@ -239,3 +239,23 @@ def test_outliers_only_go_down(spark):
     rows = spark.createDataFrame([(1, "text", 0, "I" if k == 7 else str(k), "I" if k == 7 else f"({k})", "marker_unique", 0.9, "High", k) for k in range(12)], "book_id long, source string, chapter_index int, marker string, marker_raw string, match_method string, confidence_score double, confidence string, order_key long")
     found = {r["marker"]: (r["confidence_score"], r["confidence"], r["confidence_flags"]) for r in repair.outlier_penalty(rows).collect()}
     assert found["I"] == (0.55, "Low (Marker Outlier)", ["marker_family_outlier"]) and all(v[0] == 0.9 for k, v in found.items() if k != "I")
+
+
+def test_chapter_headings():
+    from marginalia.functions import chapters
+
+    lines = ["CHAPTER I", "THE LONG ROAD", "", "It was late.", "II. THE SHORT ROAD", "Prose goes on here.", "NOTES", "1. A note", "3. THE THIRD NOTE", "4.", "", "[PART TWO].(1)", "More prose.", "III", "", "Another Title Here", "prose"]
+    found = chapters.headings(lines)
+    assert [(h.label, h.token) for h in found] == [("CHAPTER I THE LONG ROAD", 1), ("II. THE SHORT ROAD", 2), ("[PART TWO].", None), ("III. Another Title Here", 3)]
+    assert all("\n".join(lines)[h.pos :].startswith(h.label.split(" ")[0].split(".")[0]) for h in found)
+    assert chapters.file_label("O/chapter_07.xhtml") == ("CHAPTER 7", 7) and chapters.file_label("x.html") is None
+    assert chapters.notes_end(["NOTES", "1. a", "THE NEXT PART", "THE LONG ROAD", "prose"], 0) == 2
+
+
+def test_scan_of_books(spark, tmp_path):
+    from marginalia.operators import epub
+
+    data = books.contents(spark, books.discover(spark, library(tmp_path / "lib")))
+    found = {r["marker"]: r for r in epub.scan_books(data).collect()}
+    assert found["1"]["match_method"] == "id_link" and found["1"]["suggested_definition"] == "The first note." and found["1"]["chapter_group"] == "CHAPTER_I"
+    assert found["*"]["match_method"] == "none" and found["1"]["order_key"] < found["*"]["order_key"]
