@@ -41,6 +41,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "48",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+    # each store would set aside 4 MB of disk for its manifest
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
