@@ -131,9 +131,9 @@ def probe_window(raw: Column, norm: Column, context: Column, radius: int) -> Col
     return out
 
 
-def context_window(text: Column, marker: Column, radius: int = 220) -> Column:
-    """Up to radius characters on either side of a marker's first hit; without a hit the first 400."""
-    t, mk = safe_text(text), safe_text(marker)
+def context_window(text: Column, marker: Column, radius: int = 220, tidied: bool = False) -> Column:
+    """Up to radius characters on either side of a marker's first hit; without a hit the first 400. tidied: both have been through safe_text."""
+    t, mk = (text, marker) if tidied else (safe_text(text), safe_text(marker))
     quoted = F.concat(F.lit(r"\Q"), mk, F.lit(r"\E"))
     bare = F.when(mk.rlike("^[0-9]{1,3}$"), F.concat(F.lit(r"(?<![0-9])"), quoted, F.lit(r"(?![0-9])"))).when(mk.rlike("^[A-Za-z]$"), F.concat(F.lit(r"(?<![A-Za-z])"), quoted, F.lit(r"(?![A-Za-z])"))).otherwise(quoted)
     spaced = mk.rlike("^(?:[0-9]{1,3}|[A-Za-z])$")

@@ -259,3 +259,22 @@ def test_scan_of_books(spark, tmp_path):
     found = {r["marker"]: r for r in epub.scan_books(data).collect()}
     assert found["1"]["match_method"] == "id_link" and found["1"]["suggested_definition"] == "The first note." and found["1"]["chapter_group"] == "CHAPTER_I"
     assert found["*"]["match_method"] == "none" and found["1"]["order_key"] < found["*"]["order_key"]
+
+
+def test_state(spark, tmp_path):
+    from datetime import datetime
+
+    from marginalia.sources import state
+
+    assert state.load(spark, str(tmp_path / "none.json"), state.STATE) is None
+    (tmp_path / "s.json").write_text(json.dumps({"preferences": {"a": "b"}, "sessions": [{"bookPath": "x", "outputPath": "o", "readingPositionMs": 5}, {"bookPath": "y"}]}))
+    rows = state.sessions(state.load(spark, str(tmp_path / "s.json"), state.STATE))
+    assert [r["book_path"] for r in rows.orderBy("seq").collect()] == ["x", "y"]
+    assert [r["book_path"] for r in state.used(rows, "x").orderBy("seq").collect()] == ["y", "x"]
+    folders = state.output_folders(spark.createDataFrame([("/a/The Book.epub",), ("/b/The Book.epub",)], "path string"))
+    assert sorted(r["folder"] for r in folders.collect()) == ["The_Book", "The_Book_2"]
+    assert state.golden_name(spark.createDataFrame([("My Book",)], "label string"), datetime(2024, 1, 2, 3, 4, 5)).first()["file"] == "My_Book_20240102_030405.json"
+    document = json.loads(state.result_document(notes(spark)).first()["json"])
+    assert [r["id"] for r in document] == list(range(9))
+    state.save(notes(spark), str(tmp_path / "rows"))
+    assert state.load(spark, str(tmp_path / "rows"), lines=True).count() == 9
