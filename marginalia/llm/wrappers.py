@@ -4,9 +4,10 @@ A page is parsed to a DOM tree, and the tree to a skeleton: adjacent siblings of
 node that stands for the run. All skeletons of a host are aligned by simple tree matching (the order-preserving alignment of
 children that matches the most nodes) and merged to a wrapper, whose nodes know in how many pages they stand, whether their
 text is the same in all of them (template) or varies (slot), and how much of it is link text. The wrapper decides what is
-content: the node that holds the varying text, preferring what is marked as an article, without the parts below it whose
+content: in each page every outermost node that is marked as an article (or as main text, where articles hold less than half of
+it), else the node that holds the varying text, without the parts below whose
 kind says menu, header, footer, sidebar, notice, advert, form, script or comment. Text inside the content root stays
-even where pages agree in it, as two copies of a page do.
+even where pages agree in it, as two copies of a page do. A page that lacks its host's root has one of its own.
 
 Skeletons and their statistics are summed inside each partition first, so that a host with a third of all pages is a few
 rows a task; wrappers are then merged in two steps, first over SALTS parts of a host. Pages meet their wrapper by a join on the host,
@@ -243,57 +244,95 @@ def _mass(node: list, pages: int, inside: bool = False) -> int:
     return own + sum(_mass(c, pages, inside) for c in node[6] if not _boiler(c[0]))
 
 
-def content_root(tree: list) -> tuple[int, ...] | None:
-    """Path of child numbers to the node that holds the main text."""
+def plain_root(tree: list) -> tuple[int, ...] | None:
+    """Path of child numbers to the deepest node that still holds most of the varying text of a host without marks."""
     pages = _pages(tree)
-    marked, plain = [], []
+    plain = []
 
     def walk(node: list, path: tuple[int, ...]) -> None:
-        kind = _marked(node[0])
-        if kind and path:
-            marked.append((kind, _mass(node, pages, True), path))
         plain.append((_mass(node, pages), path))
         for k, c in enumerate(node[6]):
-            if not _boiler(c[0]) and not (c[0].split(" ")[0] == "header" and not kind):
+            if _open(node[0], c[0]):
                 walk(c, (*path, k))
 
     walk(tree, ())
-    if marked := [m for m in marked if m[1] > 0]:
-        most = max(m[1] for m in marked)
-        return min((m for m in marked if 2 * m[1] >= most), key=lambda m: (-m[0], -m[1], m[2]))[2]
     most = plain[0][0]
-    # the deepest node that still holds most of the varying text
     return max((p for p in plain if p[0] > 0 and 10 * p[0] >= 8 * most), key=lambda p: (len(p[1]), p[0]), default=(0, None))[1]
 
 
+def _open(kind: str, child: str) -> bool:
+    """Whether a content root may lie in a child."""
+    return not _boiler(child) and not (child.split(" ")[0] == "header" and not _marked(kind))
+
+
 def chosen(tree: list, shape: Skeleton) -> list[bool]:
     """For each node of a page's skeleton, in order of walk(), whether its own text is content."""
-    root, pages = content_root(tree), _pages(tree)
-    strict = root is not None and not _marked(_at(tree, root)[0])
-    out: list[bool] = []
+    pages = _pages(tree)
+    twins: dict[int, list | None] = {}
+    paths: dict[int, tuple[int, ...] | None] = {}
 
-    def walk(node: Skeleton, twin: list | None, path: tuple[int, ...] | None, inside: bool) -> None:
-        inside = inside or path is not None and path == root
-        own = inside and not (strict and twin is not None and not _varies(twin, pages))
-        out.append(own)
+    def align(node: Skeleton, twin: list | None, path: tuple[int, ...] | None) -> None:
+        twins[id(node)], paths[id(node)] = twin, path
         pairs = {j: i for i, j in _match(twin, _bare(node))[1]} if twin is not None else {}
         for j, c in enumerate(node.children):
+            i = pairs.get(j)
+            align(c, twin[6][i] if i is not None else None, (*path, i) if i is not None else None)
+
+    def mass(node: Skeleton) -> float:
+        """Text of a node in a page, on average; 1 where the wrapper doesn't know it."""
+        twin = twins[id(node)]
+        return 1 if twin is None else _mass(twin, pages, True) / twin[1]
+
+    def marked(node: Skeleton) -> list[Skeleton]:
+        """The outermost marked nodes with text, and the articles in one where they hold at least half of it."""
+        inner = [r for c in node.children if _open(node.kind, c.kind) for r in marked(c)]
+        if node is shape or not _marked(node.kind) or not mass(node):
+            return inner
+        articles = [r for r in inner if _marked(r.kind) == 2]
+        return articles if _marked(node.kind) == 1 and 2 * sum(map(mass, articles)) >= mass(node) else [node]
+
+    def plain() -> list[Skeleton]:
+        """The page's own root: as plain_root(), by what its nodes hold on average."""
+        found: list[tuple[int, float, Skeleton]] = []
+
+        def walk(node: Skeleton, depth: int, seen: bool) -> float:
+            twin = twins[id(node)]
+            own = 1 if twin is None else max(0, twin[4] - 2 * twin[5]) / twin[1] if _varies(twin, pages) else 0
+            own += sum(walk(c, depth + 1, seen and _open(node.kind, c.kind)) for c in node.children if not _boiler(c.kind))
+            if seen:
+                found.append((depth, own, node))
+            return own
+
+        most = walk(shape, 0, True)
+        return [max((f for f in found if f[1] > 0 and 10 * f[1] >= 8 * most), key=lambda f: f[:2])[2]] if most else []
+
+    align(shape, tree, ())
+    roots = marked(shape)
+    strict = not roots
+    if roots:
+        articles = [r for r in roots if _marked(r.kind) == 2]
+        if 2 * sum(map(mass, articles)) >= max(map(mass, roots)):
+            roots = articles
+    else:
+        path = plain_root(tree)
+        roots = [n for n in shape.walk() if path is not None and paths[id(n)] == path] or plain()
+    tops = set(map(id, roots))
+    out: list[bool] = []
+
+    def walk(node: Skeleton, inside: bool) -> None:
+        inside = inside or id(node) in tops
+        twin = twins[id(node)]
+        out.append(inside and not (strict and twin is not None and not _varies(twin, pages)))
+        for c in node.children:
             if inside and _boiler(c.kind):
                 out.extend(False for _ in c.walk())
-                continue
-            i = pairs.get(j)
-            walk(c, twin[6][i] if i is not None else None, (*path, i) if path is not None and i is not None else None, inside)
+            else:
+                walk(c, inside)
 
-    walk(shape, tree, (), False)
+    walk(shape, False)
     return out
 
 
-def _at(tree: list, path: tuple[int, ...]) -> list:
-    for k in path:
-        tree = tree[6][k]
-    return tree
-
-
 def _bare(node: Skeleton) -> list:
     return [node.kind, 0, 0, 0, 0, 0, [_bare(c) for c in node.children]]
 

@@ -75,6 +75,22 @@ def test_wrapper_edges(spark):
     assert wrappers.extracted(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def texts_of(spark, pages):
+    """page number to text, of pages of one host."""
+    rows = [(k, "http://x.example/", html) for k, html in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_wrapper_takes_marked_text_at_every_place(spark):
+    p = lambda k: f"<p>Text number {k} of this site, {k * k} words.</p>"
+    t = lambda k: f"Text number {k} of this site, {k * k} words."
+    pages = [f"<body class=home><article>{p(k)}</article></body>" for k in range(4)] + [f"<body class=single><article>{p(k)}</article></body>" for k in range(4, 6)]
+    pages += [f"<main><article>{p(6)}</article></main>", f"<article>{p(7)}</article>", f"<article class=post>{p(8)}</article>", f"<article class=page>{p(9)}</article>"]
+    pages += [f"<article>{p(10)}</article><div class=ad>Buy</div><article>{p(11)}</article>", f"<body class=plain><div>{p(12)}</div></body>"]
+    found = texts_of(spark, pages)
+    assert found == {**{k: t(k) for k in range(10)}, 10: f"{t(10)} {t(11)}", 11: t(12)}
+
+
 def test_simple_tree_matching():
     tree = lambda kind, *c: [kind, 1, 0, 0, 0, 0, list(c)]
     a = tree("a", tree("b"), tree("c", tree("d")), tree("e"))
