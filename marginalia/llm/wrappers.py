@@ -15,7 +15,7 @@ broadcast only where all wrappers together are small.
 
 Defined results: null or empty html, and pages without text, give an empty text; pages without a host share one
 wrapper; repeated rows are repeated results; nothing is cut off at any length; nesting beyond DEEP levels is flattened
-into its ancestor.
+into its ancestor, without the parts that their kind drops.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,6 +79,7 @@ def parse(text: str) -> Node:
     root = Node("html", False)
     stack, serial, at = [root], 0, 0
     tags = ["html"]
+    held: Counter[str] = Counter()  # open tags by name
     size = len(text)
     while at < size:
         m = _TOKEN.match(text, at)
@@ -91,9 +93,10 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in tags[1:]:
+            if held[tag]:
                 while True:
                     stack.pop()
+                    held[tags[-1]] -= 1
                     if tags.pop() == tag:
                         break
             if tag in _BLOCKS:
@@ -106,11 +109,12 @@ def parse(text: str) -> Node:
         if tag in ("html", "br"):
             continue
         ends = _SAME.get(tag, frozenset()) | ({"p"} if tag in _ENDS_P else frozenset())
-        if ends:
+        if any(held[e] for e in ends):
             k = len(tags) - 1
             while k > 0 and tags[k] not in ends and tags[k] not in _SCOPE:
                 k -= 1
             if k > 0 and tags[k] in ends:
+                held.subtract(tags[k:])
                 del tags[k:], stack[k:]
         if tag in _VOID:
             continue
@@ -118,13 +122,17 @@ def parse(text: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(text, at)
             at = end.end() if end else size
             continue
-        if len(stack) >= DEEP:
-            continue
-        node = Node(_kind(tag, m[3] or ""), tag == "a" or stack[-1].link)
-        stack[-1].children.append(node)
+        kind = _kind(tag, m[3] or "")
+        if len(stack) < DEEP:
+            node = Node(kind, tag == "a" or stack[-1].link)
+            stack[-1].children.append(node)
+        else:
+            # stands for its ancestor, so that its end tag closes nothing else; what is dropped by its kind hangs in no tree
+            node = Node(kind, stack[-1].link) if _boiler(kind) else stack[-1]
         if not (m[3] or "").rstrip().endswith("/") or tag in _BLOCKS:
             stack.append(node)
             tags.append(tag)
+            held[tag] += 1
     return root
 
 

@@ -91,6 +91,15 @@ def test_wrapper_takes_marked_text_at_every_place(spark):
     assert found == {**{k: t(k) for k in range(10)}, 10: f"{t(10)} {t(11)}", 11: t(12)}
 
 
+def test_wrapper_keeps_what_follows_deep_nesting(spark):
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    page = "<div class=wrap><article><p>start {k}</p>{deep}<p>rest {k}</p></article></div><div class=comments>{comments}<p>late comment {k}</p></div>"
+    inner = "<p>low {k}</p><nav>menu {k}</nav><aside>side <b>x</b></aside><form>field</form><p>lower {k}</p>"
+    found = texts_of(spark, [page.format(k=k, deep=deep(70, inner.format(k=k)), comments=deep(70, "reply")) for k in range(4)])
+    assert found == {k: f"start {k} low {k} lower {k} rest {k}" for k in range(4)}
+    assert texts_of(spark, ["<article>" + "<b>" * 50_000 + "<p>x</b>" * 50_000 + "</article>end"])[0].startswith("x x")
+
+
 def test_simple_tree_matching():
     tree = lambda kind, *c: [kind, 1, 0, 0, 0, 0, list(c)]
     a = tree("a", tree("b"), tree("c", tree("d")), tree("e"))
