@@ -6,8 +6,10 @@ children that matches the most nodes) and merged to a wrapper, whose nodes know
 text is the same in all of them (template) or varies (slot), and how much of it is link text. The wrapper decides what is
 content: in each page every outermost node that is marked as an article (or as main text, where articles hold less than half of
 it), else the node that holds the varying text, without the parts below whose
-kind says menu, header, footer, sidebar, notice, advert, form, script or comment. Text inside the content root stays
-even where pages agree in it, as two copies of a page do. A page that lacks its host's root has one of its own.
+kind says menu, header, footer, sidebar, notice, advert, form, script or comment. In a marked root blocks go that are the same in all
+pages that have it, unless they are more than half of its text, as in copies; words of class and id decide there only
+where none of them says otherwise or they name comments or adverts, else what they name goes where it is constant or
+at least half link text. A page that lacks its host's root has one of its own.
 
 Skeletons and their statistics are summed inside each partition first, so that a host with a third of all pages is a few
 rows a task; wrappers are then merged in two steps, first over SALTS parts of a host. Pages meet their wrapper by a join on the host,
@@ -56,6 +58,10 @@ _DROPPED_WORDS = frozenset(
     "alert popup modal overlay dialog share sharing social related recommended newsletter subscribe subscription signup login search pagination pager "
     "contentinfo complementary skip hidden form".split()
 )
+#: Of the dropped words, those of readers' comments and adverts: they vary from page to page as content does.
+_FOREIGN_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments reply replies disqus respond".split())
+#: Words that say where a node stands, not what it holds.
+_PLACE_WORDS = frozenset("area bar block body bottom box container content group inner item items left links list main outer page panel post right row section site slot top unit wrap wrapper".split())
 _ARTICLE_WORDS = frozenset("article articlebody main content post entry story maincontent".split())
 
 
@@ -232,6 +238,35 @@ def _boiler(kind: str) -> bool:
     return tag in _DROPPED_TAGS or bool(words & _DROPPED_WORDS) and tag not in ("html", "body", "article", "main", "p")
 
 
+def _certain(kind: str) -> bool:
+    """Whether a kind is boilerplate in a marked root too, whatever its text: by its tag, or as all its words say so; else its words are a prior only."""
+    tag, words = _words(kind)
+    if tag in _DROPPED_TAGS or not _boiler(kind):
+        return tag in _DROPPED_TAGS
+    if words & _FOREIGN_WORDS:
+        return True
+    return not re.fullmatch("h[1-6]", tag) and not {w for w in words - _DROPPED_WORDS - _PLACE_WORDS if len(w) > 2}
+
+
+def _constant(node: list, pages: int) -> bool:
+    """Whether a node and all below it have one text in all of so many pages."""
+    return node[1] >= pages > 1 and node[2] == node[3] and all(_constant(c, pages) for c in node[6])
+
+
+def _text(node: list, at: int = 4) -> int:
+    """Characters of a node and all below it, at 5 those in links."""
+    return node[at] + sum(_text(c, at) for c in node[6])
+
+
+def _kept(node: list, pages: int) -> int:
+    """Characters of a marked root that stay where constant blocks go."""
+    return node[4] + sum(_kept(c, pages) for c in node[6] if not _certain(c[0]) and not (_block(c[0]) and _constant(c, pages)))
+
+
+def _block(kind: str) -> bool:
+    return kind.partition(" ")[0] in _BLOCKS
+
+
 def _marked(kind: str) -> int:
     tag, words = _words(kind)
     return 2 if tag == "article" or "articlebody" in words else 1 if tag == "main" or words & _ARTICLE_WORDS else 0
@@ -249,7 +284,7 @@ def _pages(tree: list) -> int:
 def _mass(node: list, pages: int, inside: bool = False) -> int:
     """Varying text, less twice what is link text, of what isn't boilerplate below a node."""
     own = max(0, node[4] - 2 * node[5]) if inside or _varies(node, pages) else 0
-    return own + sum(_mass(c, pages, inside) for c in node[6] if not _boiler(c[0]))
+    return own + sum(_mass(c, pages, inside) for c in node[6] if not (_certain if inside else _boiler)(c[0]))
 
 
 def plain_root(tree: list) -> tuple[int, ...] | None:
@@ -327,17 +362,29 @@ def chosen(tree: list, shape: Skeleton) -> list[bool]:
     tops = set(map(id, roots))
     out: list[bool] = []
 
-    def walk(node: Skeleton, inside: bool) -> None:
-        inside = inside or id(node) in tops
+    def dropped(c: Skeleton, pages: int) -> bool:
+        """Whether a node in a marked root goes; pages are those that have the root, 0 where what they agree in stays."""
+        twin = twins[id(c)]
+        if _certain(c.kind) or twin is None:
+            return _certain(c.kind)
+        if _block(c.kind) and _constant(twin, pages):
+            return True
+        return _boiler(c.kind) and (_constant(twin, pages) or 2 * _text(twin, 5) >= _text(twin) > 0)
+
+    def walk(node: Skeleton, inside: bool, base: int) -> None:
         twin = twins[id(node)]
+        if id(node) in tops:
+            inside = True
+            # where most of the text is the same, the pages are copies and tell nothing of a template
+            base = twin[1] if not strict and twin is not None and 2 * _kept(twin, twin[1]) >= _kept(twin, 0) else 0
         out.append(inside and not (strict and twin is not None and not _varies(twin, pages)))
         for c in node.children:
-            if inside and _boiler(c.kind):
+            if inside and (_boiler(c.kind) if strict else dropped(c, base)):
                 out.extend(False for _ in c.walk())
             else:
-                walk(c, inside)
+                walk(c, inside, base)
 
-    walk(shape, False)
+    walk(shape, False, 0)
     return out
 
 

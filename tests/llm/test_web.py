@@ -100,6 +100,15 @@ def test_wrapper_keeps_what_follows_deep_nesting(spark):
     assert texts_of(spark, ["<article>" + "<b>" * 50_000 + "<p>x</b>" * 50_000 + "</article>end"])[0].startswith("x x")
 
 
+def test_wrapper_drops_constants_and_keeps_varying_blocks_in_articles(spark):
+    page = """<article><h1>Title {k}</h1><div class=hinweis><p>Same notice <b>everywhere</b></p></div><p>By <b>bold</b> of {k}.</p><h2 id=search>Search {k}</h2><section id=related-work><p>Work {k}</p></section>
+    <div class=social-policy>Policy {k}</div><div class=related-posts><a href=/x>Post {k}</a></div><div class=kommentare>Kommentare sind zu</div><div class=comments-area><p>Reader {k}</p></div><p>{more}</p></article>"""
+    found = texts_of(spark, [page.format(k=k, more=f"more {k} " * 20) for k in range(4)])
+    assert found == {k: f"Title {k} By bold of {k}. Search {k} Work {k} Policy {k} " + " ".join([f"more {k}"] * 20) for k in range(4)}
+    copies = texts_of(spark, [f"<title>{k}</title><article><h1>{k}</h1><p>One text that all have</p></article>" for k in range(3)])
+    assert copies == {k: f"{k} One text that all have" for k in range(3)}
+
+
 def test_simple_tree_matching():
     tree = lambda kind, *c: [kind, 1, 0, 0, 0, 0, list(c)]
     a = tree("a", tree("b"), tree("c", tree("d")), tree("e"))
