@@ -1,7 +1,7 @@
 """Substring deduplication by lines.
 
 A text is cut at line feeds. A line is normalised (A-Z lower-cased, runs of ASCII white space to one space, trimmed);
-lines of fewer than LEAST_WORDS words are too short to tell copying from chance and always stay. The digests of all
+lines of fewer than LEAST_WORDS words (or of as many as the caller says; 1 takes all that aren't blank) always stay. The digests of all
 others are grouped over the whole corpus; of equal lines the earliest by (doc_id, offset) stays and the rest are
 removed, together with their line feed. Offsets are code points of the original text and stay with the result.
 
@@ -79,13 +79,22 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least
     return both.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(kept)).drop(n["_key"], n["_at"])
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its repeated lines cut, the number of lines cut and their original offsets, as text "start-stop,..."."""
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _listed(spark: SparkSession, sf_dir: str, least_words: int) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=least_words)
     listed = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
     return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), listed.alias("removed"), "text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated lines cut, the number of lines cut and their original offsets, as text "start-stop,..."."""
+    return _listed(spark, sf_dir, LEAST_WORDS)
+
+
+def op4_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_line_dedup, of all lines that aren't blank."""
+    return _listed(spark, sf_dir, 1)
+
+
 ORACLE_SQL = rf"""
 WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, length(text) AS size, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM doc),

@@ -7,7 +7,7 @@ from marginalia.llm import ann, bpe, exact, lines, mixing, quality, simhash, tox
 QUERIES = {
     f.__name__: f
     for f in (
-        bpe.op1_byte_bpe, simhash.op2_simhash_trie, mixing.op3_curriculum_mix, lines.op4_line_dedup, exact.op5_stateful_exact,
+        bpe.op1_byte_bpe, simhash.op2_simhash_trie, mixing.op3_curriculum_mix, lines.op4_line_dedup, lines.op4_every_line, exact.op5_stateful_exact,
         toxicity.op6_transducer_toxicity, quality.op7_attention_quality, urls.op8_host_rank, wrappers.op9_wrapper_text, ann.op10_multiprobe_ann,
     )
 }

@@ -66,6 +66,26 @@ def test_lines_equal_sql(spark):
     same_as_sql(found.select("doc_id", F.size("removed").alias("n_removed"), listed.alias("removed"), "text"), lines.ORACLE_SQL, documents=rows)
 
 
+def test_every_line_by_brute_force(spark, tmp_path):
+    texts = ["Read more\n\n漢字だけの段落です。\nonly here", "漢字だけの段落です。\n \n\nREAD  more\nx", None, "", "\n\n", "read more"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, expected = set(), {}
+    for k, text in enumerate(texts):
+        at, spans, kept = 0, [], ""
+        for line in (text or "").splitlines(keepends=True):
+            norm = " ".join(line.lower().split())
+            if norm and norm in seen:
+                spans.append(f"{at}-{at + len(line)}")
+            else:
+                kept += line
+            seen.add(norm)
+            at += len(line)
+        expected[k] = (len(spans), ",".join(spans), None if text is None else kept)
+    found = {r["doc_id"]: (r["n_removed"], r["removed"], r["text"]) for r in lines.op4_every_line(spark, str(tmp_path)).collect()}
+    assert found == expected and [n for n, *_ in found.values()].count(0) == 4
+    assert sorted(n for n, *_ in found.values()) == [0, 0, 0, 0, 1, 2]
+
+
 def test_lines_keep_the_earliest_and_the_offsets(spark):
     line = "this line has quite a few more than eight words"
     rows = spark.createDataFrame([(5, f"{line}\nA"), (2, f"B\n{line.upper()}"), (9, f"é {line}\n{line}\nC")], "doc_id long, text string")
