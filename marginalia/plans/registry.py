@@ -255,6 +255,18 @@ def pair_overlap(spark, sf_dir):
     return both.where("shared > 0")
 
 
+@query()
+def pair_overlap_all(spark, sf_dir):
+    """As pair_overlap, of whole texts and all pairs: an index of keywords, counted per pair of rows."""
+
+    def words(rows, id, as_):
+        numbered = rows.select(F.col(id).alias(f"{as_}_id"), "text", F.monotonically_increasing_id().alias(f"{as_}_row"))  # before the rows are exploded
+        return numbered.select(f"{as_}_id", f"{as_}_row", F.explode(T.keywords(F.col("text"), 4, None)).alias("word"))
+
+    a, b = words(C.documents(spark, sf_dir), "doc_id", "a"), words(_table(spark, sf_dir, "benchmark"), "item_id", "b")
+    return a.join(b, "word").groupBy("a_row", "b_row", "a_id", "b_id").agg(F.count("*").alias("shared")).select("a_id", "b_id", "shared")
+
+
 @query("""SELECT l.doc_id, CAST(l.line_index AS BIGINT) AS position, arg_max(h.label, h.pos) AS label FROM line l JOIN heading h ON h.doc_id = l.doc_id AND h.pos <= l.line_index GROUP BY ALL""", corpus=True)
 def asof_heading(spark, sf_dir):
     points = C.lines(spark, sf_dir).select("doc_id", F.col("line_index").cast("long").alias("position"))
