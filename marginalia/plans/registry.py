@@ -124,6 +124,12 @@ def prd_heading_component(spark, sf_dir):
     return C.lines(spark, sf_dir).where("length(text) <= 200").select("doc_id", "line_index", P.is_heading_component(F.col("text")).alias("is_part"))
 
 
+@query()
+def prd_heading_component_all(spark, sf_dir):
+    """As prd_heading_component, of all lines."""
+    return C.lines(spark, sf_dir).select("doc_id", "line_index", P.is_heading_component(F.col("text")).alias("is_part"))
+
+
 @query(rf"""WITH p AS (SELECT page_id, {_SAFE.format("regexp_extract(html, '<h1>([^<]*)', 1)")} AS t FROM pages),
 n AS (SELECT *, {_NAMES} AS names, {_CAPS} AS caps, len(regexp_extract_all(t, '\p{{L}}')) AS letters FROM p)
 SELECT page_id, regexp_replace(upper(t), '^\.+|\.+$', '', 'g') NOT IN ('NOTES', 'FOOTNOTES', 'ENDNOTES', 'CONTENTS') AND length(t) BETWEEN 4 AND 120 AND length(t) - length(replace(t, ',', '')) < 2 AND NOT ends_with(t, ':')
@@ -184,6 +190,13 @@ def hdg_from_html(spark, sf_dir):
     return H.headings(H.elements(pages), ["page_id"]).where("tag = 'h1'").select("page_id", "label")
 
 
+@query()
+def hdg_from_html_all(spark, sf_dir):
+    """As hdg_from_html, of all pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "html")
+    return H.headings(H.elements(pages), ["page_id"]).where("tag = 'h1'").select("page_id", "label")
+
+
 # Scan of the mini-books
 
 
