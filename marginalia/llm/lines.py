@@ -1,111 +1,138 @@
-"""Substring deduplication by lines.
+"""Substring deduplication by hashed lines and sentences.
 
-A text is cut at line feeds. A line is normalised (A-Z lower-cased, runs of ASCII white space to one space, trimmed);
-lines of fewer than LEAST_WORDS words (or of as many as the caller says; 1 takes all that aren't blank) always stay. The digests of all
-others are grouped over the whole corpus; of equal lines the earliest by (doc_id, offset) stays and the rest are
-removed, together with their line feed. Offsets are code points of the original text and stay with the result.
+A text is cut into units: a unit ends with a line feed or with the marks that end a sentence (and the white space after
+them), so units tile the text. Units are normalised (A-Z lower-cased, runs of ASCII white space to one space, trimmed) and the
+digests of all of them, however short, are grouped over the whole corpus; the earliest place of a digest stays. What is removed are
+runs: maximal stretches of consecutive units of which none stands at its earliest place, where the normalised units
+of the run have LEAST_RUN code points or more (about thirty words; a parameter). A sentence that many texts happen to share is
+so left alone, and a copied passage goes wherever in a line it begins, but for the parts of sentences at its two ends. Offsets are code points of the
+original text and stay with the result.
 
-The digests' counts and earliest places are summed before the shuffle; a line that every document has is one partial
-sum a task, and the join that marks its repeats is one that adaptive execution splits.
+A row is known by its id, a hash of its text and a hash of its place (file and row number), and places are ranked by these and then by
+offset, so that rows that share an id, or have none, keep their own spans; of repeated rows one counts as the first.
 
-Defined results: a null text has no lines, and stays null; texts are never shortened for reading; documents without doc_id come
-last in rank, and equal ranks (repeated rows) count as one place: repeated rows keep or lose the same lines. Other
-columns pass through.
+Counts and earliest places are summed before the shuffle. Units meet their earliest place by a join in which the digests
+with over a thousandth of all units are sent everywhere, so a line of every document fills no task.
+
+Defined results: a null text has no units, and stays null; an empty one stays empty; blank units (white space at a text's beginning) are
+no repeats and end a run; documents without an id come last in rank; an empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.llm.shared import scratch, table, unused
+from marginalia.llm.exact import located
+from marginalia.llm.shared import joined_counted, table, unused, written
 
-LEAST_WORDS = 8
+#: Code points that a run of repeated units has at least, normalised and without the spaces between units.
+LEAST_RUN = 200
+#: One unit of a text.
+UNIT = r"[^\n.!?。！？]*[\n.!?。！？]+[\x20\x09-\x0D]*|[^\n.!?。！？]+"
+_UNIT = re.compile(UNIT)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_ROW = ("id", "hash", "at")
 
 
-def line_units(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(from, to, digest) of each line that can be a repeat; to includes its line feed."""
-    at = 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        words = line.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        if len(words) >= least_words:
-            yield at, min(end + 1, len(text)), hashlib.md5(b" ".join(words)).digest()
-        at = end + 1
+def text_units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """(from, to, code points when normalised, digest) of each unit; blank ones have 0 code points."""
+    for m in _UNIT.finditer(text):
+        norm = b" ".join(m[0].encode("utf-8", "surrogatepass").translate(_LOWER).split())
+        yield m.start(), m.end(), len(norm.decode("utf-8", "surrogatepass")), hashlib.md5(norm).digest()
 
 
-def units(df: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, start, stop, digest) of each line of each text that can be a repeat."""
+def units(rows: DataFrame) -> DataFrame:
+    """(id, hash, at, text) to (id, hash, at, nth, start, stop, size, digest), a row for each unit that isn't blank."""
+    fields = [pa.field(c, pa.int64()) for c in _ROW] + [pa.field(c, pa.int32()) for c in ("nth", "start", "stop", "size")] + [pa.field("digest", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, stops, digests = [], [], [], []
-            for key, value in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                for a, b, digest in line_units(value.as_py() or "", least_words):
-                    ids.append(key)
-                    starts.append(a)
-                    stops.append(b)
-                    digests.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(digests, pa.binary())], ["id", "start", "stop", "digest"])
-
-    return df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, start long, stop long, digest binary")
-
-
-def repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, start, stop) of each line that isn't the earliest of its kind, with the place (first_id, first_start) of that one."""
-    path = scratch(df.sparkSession, "lines")
-    units(df, id, text, least_words).write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "start")
-    common = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(common, "digest").where(place != F.col("first")).select("id", "start", "stop", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
-
-
-def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, spans: str = "removed") -> DataFrame:
-    """df with repeated lines cut from its text, and in `spans` what was cut: an array of (start, stop) in the original text."""
-    found = repeats(df, id, text, least_words)
-    n = unused(df, "_key", "_at")
-    by_id = found.groupBy(F.col("id").alias(n["_key"])).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(n["_at"]))
-    both = df.drop(spans).join(by_id, df[id].cast("long").eqNullSafe(F.col(n["_key"])), "left")
-    at = F.coalesce(F.col(n["_at"]), F.array().cast("array<struct<start:bigint,stop:bigint>>"))
-    both = both.withColumn(spans, at)
-    # what stays between the spans; a span ends where the next kept stretch begins
-    kept = F.expr(f"aggregate(`{spans}`, named_struct('out', '', 'at', 0L), (s, x) -> named_struct('out', concat(s.out, substring(`{text}`, int(s.at) + 1, int(x.start - s.at))), 'at', x.stop), s -> concat(s.out, substring(`{text}`, int(s.at) + 1)))")
-    return both.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(kept)).drop(n["_key"], n["_at"])
-
-
-def _listed(spark: SparkSession, sf_dir: str, least_words: int) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=least_words)
-    listed = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
-    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), listed.alias("removed"), "text")
+            of, found = [], []
+            for k, text in enumerate(batch.column("text")):
+                for nth, unit in enumerate(text_units(text.as_py() or "")):
+                    if unit[2]:
+                        of.append(k)
+                        found.append((nth, *unit))
+                if len(of) > 50_000 or k == batch.num_rows - 1:
+                    at = pa.array(of, pa.int64())
+                    columns = [batch.column(c).take(at) for c in _ROW] + [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields[3:], strict=True)] if found else [pa.array([], f.type) for f in fields]
+                    yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+                    of, found = [], []
+
+    return rows.select(*_ROW, "text").mapInArrow(run, "id long, hash long, at long, nth int, start int, stop int, size int, digest binary")
+
+
+def repeats(rows: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+    """(id, hash, at, text) to (id, hash, at, start, stop) of each run of repeated units that has least_run code points."""
+    found = written(units(rows), "units")
+    place = F.struct(F.col("id").isNull().alias("last"), *_ROW, "start")
+    common = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    again = joined_counted(found, common, ["digest"], "n", found.count()).where(place != F.col("first"))
+    # the number of a unit less its rank among the repeated ones is the same all along a run
+    by_row = W.partitionBy(*_ROW).orderBy("nth")
+    runs = again.select(*_ROW, "nth", "start", "stop", "size").withColumn("run", F.col("nth") - F.row_number().over(by_row))
+    runs = runs.groupBy(*_ROW, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("size").alias("size"))
+    return runs.where(F.col("size") >= least_run).select(*_ROW, "start", "stop")
+
+
+def without(df: DataFrame, text: str, spans: str) -> DataFrame:
+    """df with the spans, an array of (start, stop), cut from its text."""
 
-
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its repeated lines cut, the number of lines cut and their original offsets, as text "start-stop,..."."""
-    return _listed(spark, sf_dir, LEAST_WORDS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index(text)
+            texts = []
+            for value, cuts in zip(batch.column(text), batch.column(spans).to_pylist(), strict=True):
+                value, at, kept = value.as_py(), 0, []
+                for c in cuts if value is not None else ():
+                    kept.append(value[at : c["start"]])
+                    at = c["stop"]
+                texts.append("".join([*kept, value[at:]]) if at else value)
+            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]))
+
+
+def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN, spans: str = "removed") -> DataFrame:
+    """df with repeated runs cut from its text, and in `spans` what was cut: an array of (start, stop) in the original text."""
+    df = df.drop(spans)
+    n = unused(df, "_at", "_id", "_hash", "_place", "_spans")
+    placed = located(df, n["_at"])
+    place = F.xxhash64(F.col(n["_at"])["file"], F.col(n["_at"])["row"])
+    rows = placed.select("*", F.col(id).cast("long").alias(n["_id"]), F.xxhash64(text).alias(n["_hash"]), place.alias(n["_place"])).drop(n["_at"])
+    narrow = rows.select(F.col(n["_id"]).alias("id"), F.col(n["_hash"]).alias("hash"), F.col(n["_place"]).alias("at"), F.col(text).alias("text"))
+    found = repeats(narrow, least_run).groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(n["_spans"]))
+    found = found.select(F.col("id").alias("_k0"), F.col("hash").alias("_k1"), F.col("at").alias("_k2"), n["_spans"])
+    same = rows[n["_id"]].eqNullSafe(found["_k0"]) & (rows[n["_hash"]] == found["_k1"]) & (rows[n["_place"]] == found["_k2"])
+    nothing = F.array().cast("array<struct<start:int,stop:int>>")
+    both = rows.join(found, same, "left").select(*(rows[c] for c in df.columns), F.coalesce(found[n["_spans"]], nothing).alias(spans))
+    return without(both, text, spans)
 
 
-def op4_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op4_line_dedup, of all lines that aren't blank."""
-    return _listed(spark, sf_dir, 1)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated runs cut, the number of runs and their original offsets, as text "start-stop,..."."""
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), listed.alias("removed"), "text")
 
 
 ORACLE_SQL = rf"""
-WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-line AS (SELECT doc_id, length(text) AS size, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM doc),
-placed AS (SELECT doc_id, nth, line, size, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM line),
-unit AS (SELECT doc_id, nth, start, least(start + length(line) + 1, size) AS stop,
-  array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm,
-  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM placed),
-marked AS (SELECT doc_id, nth, start, stop, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS again FROM unit WHERE words >= {LEAST_WORDS}),
-cut AS (SELECT doc_id, nth, start, stop FROM marked WHERE again),
-spans AS (SELECT doc_id, count(*) AS n, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM cut GROUP BY doc_id),
-kept AS (SELECT p.doc_id, string_agg(substring(d.text, CAST(p.start + 1 AS INTEGER), CAST(least(p.start + length(p.line) + 1, p.size) - p.start AS INTEGER)), '' ORDER BY p.nth) AS text
-  FROM placed p JOIN doc d USING (doc_id) LEFT JOIN cut c ON p.doc_id = c.doc_id AND p.nth = c.nth WHERE c.nth IS NULL GROUP BY p.doc_id)
+WITH doc AS (SELECT doc_id, text, regexp_extract_all(text, '{UNIT}') AS units FROM documents WHERE text IS NOT NULL),
+part AS (SELECT doc_id, unnest(units) AS unit, unnest(range(len(units))) AS nth FROM doc),
+placed AS (SELECT doc_id, nth, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY nth) AS BIGINT) AS stop, length(unit) AS long,
+  array_to_string(regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm FROM part),
+marked AS (SELECT doc_id, nth, stop - long AS start, stop, length(norm) AS size, row_number() OVER (PARTITION BY norm ORDER BY doc_id, stop) > 1 AS again FROM placed WHERE norm <> ''),
+runs AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM marked WHERE again) GROUP BY doc_id, run HAVING sum(size) >= {LEAST_RUN}),
+spans AS (SELECT doc_id, count(*) AS n, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM runs GROUP BY doc_id),
+gone AS (SELECT p.doc_id, p.nth FROM placed p JOIN runs r ON p.doc_id = r.doc_id AND p.stop > r.start AND p.stop <= r.stop),
+kept AS (SELECT p.doc_id, string_agg(p.unit, '' ORDER BY p.nth) AS text FROM part p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.nth = g.nth WHERE g.nth IS NULL GROUP BY p.doc_id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_removed, coalesce(s.removed, '') AS removed, CASE WHEN d.text IS NULL THEN NULL WHEN s.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text
 FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -59,45 +60,67 @@ def test_bpe_stage_keeps_columns(spark):
     assert bpe.stage(spark, empty(spark), DATA).count() == 0
 
 
+def _cut_by_hand(texts: list[str | None], least: int = lines.LEAST_RUN) -> list[tuple[list[tuple[int, int]], str | None]]:
+    """Of texts in order of rank the spans that go, and what stays."""
+    seen, out = set(), []
+    for text in texts:
+        spans, run = [], []
+        for unit in [*re.finditer(lines.UNIT, text or ""), None]:
+            norm = re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), unit[0])).strip(" ") if unit else ""
+            if norm and norm in seen:
+                run.append((unit.start(), unit.end(), len(norm)))
+                continue
+            if sum(size for *_, size in run) >= least:
+                spans.append((run[0][0], run[-1][1]))
+            run = []
+            seen.add(norm)
+        kept = None if text is None else "".join(text[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(text)], strict=True))
+        out.append((spans, kept))
+    return out
+
+
+PASSAGE = "".join(f"Sentence {k} of a passage that stands in many texts says {'very ' * (k % 4)}little. " for k in range(6))
+
+
 def test_lines_equal_sql(spark):
     rows = edges(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
-    found = lines.without_repeats(rows.select("doc_id", "text"))
+    more = spark.createDataFrame([(k, f"Own words {k}" + " and" * k + f" {PASSAGE}\nThe end {k}. é {PASSAGE.upper()}") for k in range(20, 24)], "doc_id long, text string")
+    rows = rows.select("doc_id", "text").unionByName(more)
+    found = lines.without_repeats(rows)
     listed = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
     same_as_sql(found.select("doc_id", F.size("removed").alias("n_removed"), listed.alias("removed"), "text"), lines.ORACLE_SQL, documents=rows)
 
 
-def test_every_line_by_brute_force(spark, tmp_path):
-    texts = ["Read more\n\n漢字だけの段落です。\nonly here", "漢字だけの段落です。\n \n\nREAD  more\nx", None, "", "\n\n", "read more"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    seen, expected = set(), {}
-    for k, text in enumerate(texts):
-        at, spans, kept = 0, [], ""
-        for line in (text or "").splitlines(keepends=True):
-            norm = " ".join(line.lower().split())
-            if norm and norm in seen:
-                spans.append(f"{at}-{at + len(line)}")
-            else:
-                kept += line
-            seen.add(norm)
-            at += len(line)
-        expected[k] = (len(spans), ",".join(spans), None if text is None else kept)
-    found = {r["doc_id"]: (r["n_removed"], r["removed"], r["text"]) for r in lines.op4_every_line(spark, str(tmp_path)).collect()}
-    assert found == expected and [n for n, *_ in found.values()].count(0) == 4
-    assert sorted(n for n, *_ in found.values()) == [0, 0, 0, 0, 1, 2]
+def test_lines_by_brute_force_whatever_the_ids(spark):
+    """Ids that repeat or are missing, on different and on equal texts: each row keeps its own spans."""
+    texts = [(1, PASSAGE), (2, "Mid line " + PASSAGE + "tail"), (2, "Another row of the same id. " + PASSAGE), (3, "short. short. short."), (3, None), (4, ""), (5, "\n \n"),
+             (6, "漢字だけの段落です。" * 30 + "終わり"), (7, "新しい。" + "漢字だけの段落です。" * 30), (None, "no id, own beginning! " + PASSAGE + "\nown end"), (None, "no id either; " + PASSAGE), (None, "a third without id and of nobody's words")]
+    expected = _cut_by_hand([t for _, t in texts])
+    found = lines.without_repeats(spark.createDataFrame([(*r, k) for k, r in enumerate(texts)], "doc_id long, text string, nth int")).collect()
+    found = {r["nth"]: ([tuple(x) for x in r["removed"]], r["text"]) for r in found}
+    # rows of one id are ranked by hashes, here those of 2 and of no id: all but their first sentences stand in row 0 already
+    assert found == dict(enumerate(expected))
+    assert [len(found[k][0]) for k in range(len(texts))] == [0, 1, 1, 0, 0, 0, 0, 1, 1, 1, 1, 0]
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(7, PASSAGE), (7, PASSAGE), (None, PASSAGE * 2), (None, PASSAGE * 2)]
+    found = [r["text"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found) == ["", "", "", PASSAGE]
 
 
-def test_lines_keep_the_earliest_and_the_offsets(spark):
-    line = "this line has quite a few more than eight words"
-    rows = spark.createDataFrame([(5, f"{line}\nA"), (2, f"B\n{line.upper()}"), (9, f"é {line}\n{line}\nC")], "doc_id long, text string")
-    found = {r["doc_id"]: r for r in lines.without_repeats(rows).collect()}
-    assert found[2]["removed"] == [] and found[2]["text"] == f"B\n{line.upper()}"
-    assert [tuple(x) for x in found[5]["removed"]] == [(0, len(line) + 1)] and found[5]["text"] == "A"
-    assert [tuple(x) for x in found[9]["removed"]] == [(len(line) + 3, 2 * len(line) + 4)] and found[9]["text"] == f"é {line}\nC"
+def test_lines_of_all_documents(spark):
+    """The real table against the brute force, in rank order."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    expected = {r["doc_id"]: x for r, x in zip(rows, _cut_by_hand([r["text"] for r in rows]), strict=True)}
+    assert {r["doc_id"]: ([tuple(x) for x in r["removed"]], r["text"]) for r in lines.without_repeats(docs).collect()} == expected
 
 
 def test_lines_edges(spark):
     found = lines.without_repeats(clashing(edges(spark)), spans="spans")
     assert found.count() == len(EDGES) and found.where("doc_id = 3").first()["text"] is None
+    assert set(clashing(edges(spark)).columns) < set(found.columns)
     assert lines.without_repeats(empty(spark)).count() == 0
 
 
