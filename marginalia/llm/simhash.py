@@ -8,15 +8,15 @@ together, level by level, and each pair carries the number of bits in which its
 differ; a pair is dropped as soon as that exceeds the budget. The walk is over ranges of a
 sorted array, all pairs of a level at once, in portions of bounded size.
 
-A task links what it finds by union-find and returns a forest, a row for each node at most,
+A task links what it finds by union-find and returns a spanning forest of near pairs, a row for each node at most,
 never all pairs of a group; the forests of all tasks then go through connected components.
 A block value that too many fingerprints share is split below: its trie is cut at a deeper
 level, and each pair of subtries whose paths differ within the budget becomes a task of its
-own.
+own; that goes on until no task is too large.
 
 Defined results: null and empty texts and texts of white space alone have fingerprint zero and
-are linked like any other; rows whose id is null take part, but can't name a component (null
-if all its members' ids are null); repeated ids are repeated rows with one component each.
+are linked like any other; rows whose id is null take part, and links run through them, but they can't name a component (null
+if all its members' ids are null); repeated ids are repeated rows with one component each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.components import components
-from marginalia.llm.shared import cut, small_batches, table, unused, words
+from marginalia.llm.exact import located
+from marginalia.llm.shared import cut, joined_counted, small_batches, table, unused, words, written
 
 SEED = 42
 #: Fingerprints that share a block value before its trie is cut deeper.
@@ -41,8 +43,12 @@ GROUP = 50_000
 FRONT = 1 << 16
 #: Rows of tries that one partition holds, about.
 ROWS_HELD = 60_000
-#: Ids that may be sent to every executor.
-SENT_ROWS = 1_000_000
+#: Bits by which a task that is too large is cut deeper at once.
+DEEPER = 8
+#: Rows of places that may be sent to every executor.
+SENT_ROWS = 100_000
+#: Links that meet one copy of a text in one place.
+COPIES = 500
 
 
 def _shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -91,13 +97,19 @@ def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = parent[x]
 
 
-def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unites a[k] with b[k]; returns the k that joined two sets, a spanning forest of what was united."""
+    which, joined = np.arange(len(a)), [np.zeros(0, np.int64)]
     while len(a):
         a, b = _find(parent, a), _find(parent, b)
         differ = a != b
-        low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
-        np.minimum.at(parent, high, low)
+        low, high, which = np.minimum(a, b)[differ], np.maximum(a, b)[differ], which[differ]
+        order = np.lexsort((low, high))
+        first = order[np.r_[True, np.diff(high[order]) != 0][: len(order)]]
+        parent[high[first]] = low[first]
+        joined.append(which[first])
         a, b = low, high
+    return np.concatenate(joined)
 
 
 class Segment(NamedTuple):
@@ -108,8 +120,8 @@ class Segment(NamedTuple):
     budget: int
 
 
-def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: np.ndarray) -> None:
-    """Unites, in `parent`, the nodes `at` of all keys within the budget.
+def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Unites, in `parent`, the nodes `at` of all keys within the budget; returns the pairs of places that joined two sets.
 
     The keys ascend, without repeats, in every range. ranges: rows (from, to, from, to), the two tries to join; the
     same one twice joins a trie with itself. Pairs of subtries that are of one component already are left out, so
@@ -117,7 +129,7 @@ def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: n
     """
     n = len(keys[0].values)
     levels = [(k, bit) for k, segment in enumerate(keys) for bit in range(segment.bits - 1, -1, -1)]
-    ones = np.zeros(n + 1, np.int64)
+    ones, joined = np.zeros(n + 1, np.int64), []
     work = [(0, ranges.astype(np.int64), np.zeros(len(ranges), np.int64))]
     while work:
         level, front, errors = work.pop()
@@ -141,7 +153,9 @@ def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: n
             for segment in keys:
                 differ = differ + np.bitwise_count(segment.values[i] ^ segment.values[j]).astype(np.int64)
                 near &= differ <= segment.budget
-            _unite(parent, at[i[near]], at[j[near]])
+            i, j = i[near], j[near]
+            some = _unite(parent, at[i], at[j])
+            joined.append(np.stack([i[some], j[some]]))
             a0, a1, b0, b1, errors = a0[~leaf], a1[~leaf], b0[~leaf], b1[~leaf], errors[~leaf]
             if not len(a0):
                 continue
@@ -157,12 +171,14 @@ def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: n
         on = (a1 > a0) & (b1 > b0) & (errors <= keys[k].budget) & ~((a0 == b0) & (a1 - a0 == 1))
         # all pairs of a level go on together, so a level's counts of ones are made once
         work.append((level + 1, np.stack([a0, a1, b0, b1], axis=1)[on], errors[on]))
+    return joined
 
 
-def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segment]) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, other) that connect what the tries of all tasks connect.
+def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segment], budgets: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near pairs (node, other, differing bits) that connect what the tries of all tasks connect.
 
-    A task of side 0 is joined with itself, sides 1 and 2 of a task with each other.
+    A task of side 0 is joined with itself, sides 1 and 2 of a task with each other. budgets: those of the last segments to try
+    before the keys' own, ascending, so that the nearest pairs are linked first.
     """
     order = np.lexsort((*(k.values for k in reversed(keys)), side, task))
     task, side, node = task[order], side[order], node[order]
@@ -171,19 +187,22 @@ def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segm
     parent = np.arange(len(ids))
     # equal keys are one leaf
     new = np.r_[True, (np.diff(task) != 0) | (np.diff(side) != 0) | np.logical_or.reduce([k.values[1:] != k.values[:-1] for k in keys])]
-    if not new.all():
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        _unite(parent, at[~new], at[lead[~new]])
-        task, side, at, keys = task[new], side[new], at[new], [k._replace(values=k.values[new]) for k in keys]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    same, of = np.flatnonzero(~new), lead[~new]
+    some = _unite(parent, at[same], at[of])
+    out = [(at[same[some]], at[of[some]], np.zeros(len(some), np.int64))]
+    task, side, at, keys = task[new], side[new], at[new], [k._replace(values=k.values[new]) for k in keys]
     first = np.flatnonzero(np.r_[True, (np.diff(task) != 0) | (np.diff(side) != 0)])
     last = np.r_[first[1:], len(task)]
     own = (side[first] == 0) & (last - first > 1)
     left = np.flatnonzero((side[first[:-1]] == 1) & (side[first[1:]] == 2) & (task[first[:-1]] == task[first[1:]]))
     pairs = [np.stack([first[own], last[own], first[own], last[own]], axis=1), np.stack([first[left], last[left], first[left + 1], last[left + 1]], axis=1)]
-    trie_join(keys, np.concatenate(pairs), parent, at)
-    root = _find(parent, np.arange(len(ids)))
-    moved = root != np.arange(len(ids))
-    return ids[moved], ids[root[moved]]
+    for budget in (*budgets, None):
+        within = keys if budget is None else [keys[0], *(k._replace(budget=min(k.budget, budget)) for k in keys[1:])]
+        for i, j in trie_join(within, np.concatenate(pairs), parent, at):
+            out.append((at[i], at[j], sum(np.bitwise_count(k.values[i] ^ k.values[j]).astype(np.int64) for k in keys)))
+    u, v, differ = (np.concatenate(x) for x in zip(*out, strict=True))
+    return ids[np.maximum(u, v)], ids[np.minimum(u, v)], differ
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -192,16 +211,48 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _turned(word: str, shift: int, width: int, bits: int) -> Column:
+    """The bits of a word after a block, wrapping round, without the block's."""
+    if bits == width:
+        return F.lit(0).cast("long")
+    at = shift + width
+    low = F.shiftrightunsigned(word, at) if at < 64 else F.lit(0).cast("long")
+    return low.bitwiseOR(F.shiftleft(word, bits - at)).bitwiseAND((1 << bits - width) - 1)
+
+
+def subdivided(rows: DataFrame, budget: int, group: int) -> DataFrame:
+    """Rows (task, side, used, word, left, ...) with no task of over `group` rows while bits of the word are left to cut it by.
+
+    A task too large is cut `deeper` bits further down: the pair of paths (p, q), p < q, becomes a task of sides 1 and 2, the pair
+    (p, p) one of side 0, where the bits in which p and q differ, with those used before, are within the budget.
+    """
+    done = None
+    while True:
+        counted = rows.where("left > 0").groupBy("task").agg(F.count("*").alias("n")).where(F.col("n") > group)
+        hot = cut(counted.select("task", F.least(F.lit(DEEPER), F.ceil(F.log2(F.col("n") / group)).cast("int") + 2).alias("deeper")))
+        if not (m := hot.count()):
+            return rows if done is None else done.unionByName(rows)
+        found = rows.join(F.broadcast(hot) if m <= SENT_ROWS else hot, "task", "left")
+        plain = found.where("deeper is null or left = 0").drop("deeper")
+        done = plain if done is None else done.unionByName(plain)
+        masks = F.filter(F.array(*(F.lit(x).cast("long") for x in range(1 << DEEPER) if x.bit_count() <= budget)), lambda x: (x < F.expr("shiftleft(1L, deeper)")) & (F.bit_count(x) + F.col("used") <= budget))
+        out = found.where("deeper is not null and left > 0").withColumn("deeper", F.least("deeper", "left")).withColumn("mask", F.explode(masks))
+        out = out.withColumn("path", F.expr("word & (shiftleft(1L, deeper) - 1)")).withColumn("other", F.expr("path ^ mask"))
+        one = F.when(F.col("side") == 0, F.least("path", "other")).when(F.col("side") == 1, F.col("path")).otherwise(F.col("other"))
+        two = F.when(F.col("side") == 0, F.greatest("path", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("path"))
+        side = F.when((F.col("side") > 0) | (F.col("mask") == 0), F.col("side")).when(F.col("path") < F.col("other"), 1).otherwise(2)
+        kept = [c for c in rows.columns if c not in ("task", "side", "used", "word", "left")]
+        rows = cut(out.select(
+            F.xxhash64("task", one, two).alias("task"), side.alias("side"), (F.col("used") + F.bit_count("mask")).cast("int").alias("used"),
+            F.expr("shiftrightunsigned(word, deeper)").alias("word"), (F.col("left") - F.col("deeper")).alias("left"), *kept,
+        ))
+
+
 def links(nodes: DataFrame, budget: int, group: int = GROUP) -> DataFrame:
     """Nodes (node long, fp long), a row for each fingerprint, to a forest (u, v) of those within budget bits."""
-    dealt = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1 if width < 64 else -1).alias("key"), F.lit((shift + width) % 64).alias("next")) for k, (shift, width) in enumerate(_blocks(budget))))).alias("b")).select("node", "fp", "b.*")
-    hot = cut(dealt.groupBy("block", "key").count().where(F.col("count") > group).withColumn("deep", F.least(F.lit(14), F.ceil(F.log2(F.col("count") / group)).cast("int") + 2)))
-    plain = dealt.withColumn("side", F.lit(0))
-    if not hot.isEmpty():
-        found = dealt.join(hot.drop("count"), ["block", "key"], "left")
-        plain = found.where("deep is null").drop("deep").withColumn("side", F.lit(0))
-        plain = plain.unionByName(_cut_deeper(found.where("deep is not null"), budget))
-    tasks = plain.withColumn("task", F.xxhash64("block", "key"))
+    blocks = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1 if width < 64 else -1).alias("key"), _turned("fp", shift, width, 64).alias("word"), F.lit(64 - width).alias("left")) for k, (shift, width) in enumerate(_blocks(budget))]
+    dealt = nodes.select("node", "fp", F.explode(F.array(*blocks)).alias("b")).select("node", "fp", F.xxhash64("b.block", "b.key").alias("task"), F.lit(0).alias("side"), F.lit(0).alias("used"), "b.word", "b.left")
+    tasks = subdivided(dealt, budget, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task's rows are narrow (28 bytes), and their number is the shuffle partition's, a setting of the session
@@ -209,39 +260,22 @@ def links(nodes: DataFrame, budget: int, group: int = GROUP) -> DataFrame:
         if held:
             whole = pa.concat_tables(held)
             task, side, fp, node = (whole.column(c).to_numpy() for c in ("task", "side", "fp", "node"))
-            u, v = forest(task, side, node, [Segment(fp.view(np.uint64), 64, budget)])
+            u, v, _ = forest(task, side, node, [Segment(fp.view(np.uint64), 64, budget)])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return tasks.select("task", "side", "fp", "node").repartition("task").mapInArrow(run, "u long, v long")
 
 
-def _cut_deeper(hot: DataFrame, budget: int) -> DataFrame:
-    """Rows of block values that are too common, dealt to pairs of subtries `deep` bits further down.
-
-    The pair (p, q), p < q, is joined across, sides 1 and 2; the pair (p, p) with itself, side 0.
-    """
-    # the bits after the block, wrapping round
-    turned = F.expr("shiftrightunsigned(fp, next) | shiftleft(fp, (64 - next) % 64)")
-    path = F.expr("turned & (shiftleft(1L, deep) - 1)")
-    flips: list[tuple[int, ...]] = [()]
-    for _ in range(budget):
-        flips = list(dict.fromkeys(tuple(sorted({*f, k})) for f in [*flips, ()] for k in range(14))) + flips
-    masks = sorted({sum(1 << k for k in f) for f in flips})
-    out = hot.withColumn("turned", turned).withColumn("path", path)
-    out = out.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).where(F.expr("mask < shiftleft(1L, deep)"))
-    out = out.withColumn("other", F.expr("path ^ mask"))
-    side = F.when(F.col("mask") == 0, 0).when(F.col("path") < F.col("other"), 1).otherwise(2)
-    key = F.xxhash64("key", F.least("path", "other"), F.greatest("path", "other"))
-    return out.select("node", "fp", "block", key.alias("key"), "next", side.alias("side"))
-
-
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 2, group: int = GROUP) -> DataFrame:
     """(id, fp, component_id) for each row: the least id that its fingerprint reaches through links within budget bits."""
     prints = cut(fingerprints(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), shingle=shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    found = components(links(nodes.where("node is not null"), budget, group))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    # the fingerprint itself is the node, so that those of rows without an id are nodes too
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), budget, group))
+    rooted = cut(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("root")))
+    roots = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    named = cut(joined_counted(rooted, roots, ["root"], "fps", nodes.count()).select("fp", "n", "component_id"))
+    return joined_counted(prints, named, ["fp"], "n", prints.count()).select(F.col("id").alias(id), "fp", "component_id")
 
 
 def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +286,16 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Wide fingerprints: for a similarity that a few bits of 64 can't tell.
 
-#: Words of a shingle and the Jaccard similarity that the wide form aims at. At 0.8 about 15 % of the bits differ.
-WIDE_SHINGLE = 5
-#: Short fingerprints of 32 bits, and how many bits of one may differ: similar pairs meet in one of them.
-SHORTS, SHORT_BUDGET = 20, 2
-#: Bits of a further fingerprint of 128 that may differ, which decides: 0.8 gives 19 on average and 0.6 gives 28.
-WIDE_BUDGET = 24
+# They only name candidates: every link is held against the true Jaccard similarity of the two texts' shingle sets.
+
+#: Words of a shingle and the Jaccard similarity from which texts are near duplicates. At 0.8 about 15 % of the bits differ.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Short fingerprints of 32 bits, and how many bits of one may differ: similar pairs meet in one of them (95 % at 0.8, 99 % at 0.85).
+SHORTS, SHORT_BUDGET = 24, 2
+#: Bits of a further fingerprint of 128 that may differ in a candidate: 0.8 gives 19 on average, with a deviation of 4.
+WIDE_BUDGET = 32
+#: What is tried before, so that a task's forest is made of its nearest pairs.
+NEARER = (10, 20)
 LONGS = SHORTS // 2 + 2
 
 
@@ -280,9 +318,7 @@ def _majority(words: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, longs: int = LONGS) -> np.ndarray:
-    """SimHash of 64 * longs bits; a shingle's further bits are mixed from its XXH64."""
-    hashes = _shingles(text, shingle)
+def _wide(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
     if not len(hashes):
         return np.zeros(longs, np.uint64)
     x = hashes[:, None] + np.arange(longs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -292,19 +328,28 @@ def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, longs: int =
     return _majority(x)
 
 
-def wide_fingerprints(df: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """(id, text) to (id, w), w an array of LONGS longs."""
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, longs: int = LONGS) -> np.ndarray:
+    """SimHash of 64 * longs bits of the set of shingles; a shingle's further bits are mixed from its XXH64."""
+    return _wide(np.unique(_shingles(text, shingle)), longs)
+
+
+def wide_fingerprints(rows: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(at, id, text) to (at, id, shingles, w): a digest of the set of shingles, and w an array of LONGS longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t.as_py(), shingle).view(np.int64).tolist() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "w"])
+            digests, wide = [], []
+            for text in batch.column("text"):
+                found = np.unique(_shingles(text.as_py(), shingle))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                wide.append(_wide(found).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("id"), pa.array(digests, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], ["at", "id", "shingles", "w"])
 
-    return df.select("id", "text").mapInArrow(run, "id long, w array<long>")
+    return rows.select("at", "id", "text").mapInArrow(run, f"at {rows.schema['at'].dataType.simpleString()}, id long, shingles binary, w array<long>")
 
 
 def wide_links(nodes: DataFrame, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
-    """(node, w) to a forest (u, v) of nodes whose short fingerprints nearly agree somewhere and whose 128 further bits do within budget.
+    """(node, w) to candidates (u, v, differ), u > v: nodes whose short fingerprints nearly agree somewhere and whose 128 further bits do within budget.
 
     A trie's key is a short fingerprint and then the further bits, so the walk prunes by the one budget first and by the other below.
     """
@@ -312,17 +357,17 @@ def wide_links(nodes: DataFrame, budget: int = WIDE_BUDGET, group: int = GROUP)
     blocks = [(0, 11), (11, 11), (22, 10)]
     deals = [F.struct(F.lit(3 * k + i).alias("block"), F.shiftrightunsigned(s, shift).bitwiseAND((1 << width) - 1).alias("key"), s.alias("short")) for k, s in enumerate(shorts) for i, (shift, width) in enumerate(blocks)]
     dealt = nodes.select("node", F.col("w")[LONGS - 2].alias("c0"), F.col("w")[LONGS - 1].alias("c1"), F.explode(F.array(*deals)).alias("d")).select("node", "c0", "c1", "d.*")
-    hot = cut(dealt.groupBy("block", "key").count().where(F.col("count") > group).withColumn("parts", F.ceil(F.col("count") / group).cast("int")).drop("count"))
-    if hot.isEmpty():
+    if dealt.groupBy("block", "key").count().where(F.col("count") > group).isEmpty():
         # task and short fingerprint in one long: these rows are most of what the stage moves
         tasks = dealt.select(F.shiftleft(F.col("block").cast("long") * 2048 + F.col("key"), 32).bitwiseOR(F.col("short")).alias("packed"), "node", "c0", "c1")
         by = [F.shiftrightunsigned("packed", 32)]
     else:
-        # a common block value is dealt to parts, and every two parts to a task of their own
-        found = dealt.join(hot, ["block", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        found = found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-        tasks = found.select(F.xxhash64("block", "key", F.least("part", "other"), F.greatest("part", "other")).alias("task"), side.alias("side"), "short", "node", "c0", "c1")
+        word, left = F.lit(0).cast("long"), F.lit(0)
+        for i, (shift, width) in enumerate(blocks):
+            word = F.when(F.col("block") % 3 == i, _turned("short", shift, width, 32)).otherwise(word)
+            left = F.when(F.col("block") % 3 == i, 32 - width).otherwise(left)
+        rows = dealt.select(F.xxhash64("block", "key").alias("task"), F.lit(0).alias("side"), F.lit(0).alias("used"), word.alias("word"), left.alias("left"), "short", "node", "c0", "c1")
+        tasks = _parted(subdivided(rows, SHORT_BUDGET, group).select("task", "side", "short", "node", "c0", "c1"), group)
         by = [F.col("task")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,32 +381,110 @@ def wide_links(nodes: DataFrame, budget: int = WIDE_BUDGET, group: int = GROUP)
             else:
                 task, short, side = column("task"), column("short").view(np.uint64), column("side")
             keys = [Segment(short, 32, SHORT_BUDGET), Segment(column("c0").view(np.uint64), 64, SHORT_BUDGET + budget), Segment(column("c1").view(np.uint64), 64, SHORT_BUDGET + budget)]
-            u, v = forest(task, side, column("node"), keys)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            u, v, differ = forest(task, side, column("node"), keys, NEARER)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(differ, pa.int64())], ["u", "v", "differ"])
 
     # so many rows a partition whatever the session's settings: that is what a Python worker holds
     parts = max(1, -(-nodes.count() * len(deals) // ROWS_HELD))
-    return tasks.repartition(parts, *by).mapInArrow(run, "u long, v long")
+    found = tasks.repartition(parts, *by).mapInArrow(run, "u long, v long, differ long")
+    return found.groupBy("u", "v").agg(F.min("differ").alias("differ"))
+
+
+def _parted(rows: DataFrame, group: int) -> DataFrame:
+    """Tasks that are too large though all bits of their short fingerprints agree, as families of over `group` copies do: dealt to parts, every two parts a task."""
+    hot = cut(rows.groupBy("task").agg(F.count("*").alias("n")).where(F.col("n") > group).select("task", F.ceil(F.col("n") / group).cast("int").alias("parts")))
+    if not (m := hot.count()):
+        return rows
+    found = rows.join(F.broadcast(hot) if m <= SENT_ROWS else hot, "task", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    found = found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # sides 1 and 2 meet in every pair of parts; a side 0 meets itself once and other parts across
+    one = F.when(F.col("side") == 0, F.least("part", "other")).when(F.col("side") == 1, F.col("part")).otherwise(F.col("other"))
+    two = F.when(F.col("side") == 0, F.greatest("part", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("part"))
+    side = F.when((F.col("side") > 0) | (F.col("part") == F.col("other")), F.col("side")).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return found.select(F.xxhash64("task", one, two).alias("task"), side.alias("side"), "short", "node", "c0", "c1")
+
+
+def _with_text(edges: DataFrame, key: str, texts: DataFrame, out: str) -> DataFrame:
+    """edges with the text of the node in `key`, of which a node of many links sends a copy for every COPIES of them."""
+    counts = cut(edges.groupBy(key).agg(F.count("*").alias("n")))
+    dealt = joined_counted(edges, counts, [key], "n", edges.count()).withColumn("part", F.pmod(F.xxhash64("u", "v"), F.ceil(F.col("n") / COPIES)).cast("int")).drop("n")
+    copies = texts.join(counts, texts["node"] == counts[key]).select(F.col("node").alias(key), F.col("text").alias(out), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / COPIES).cast("int") - 1)).alias("part"))
+    return dealt.join(copies, [key, "part"]).drop("part")
+
 
+def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """The edges (u, v) whose texts' sets of shingles have a Jaccard similarity of at least `similarity`."""
+    edges = cut(edges.select("u", "v"))
+    both = _with_text(_with_text(edges, "u", texts, "a"), "v", texts, "b")
 
-def similar(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
-    """(id, component_id) of the rows whose id isn't null: the least id reached through texts of similar shingles."""
-    prints = cut(wide_fingerprints(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null"), shingle))
-    nodes = cut(prints.groupBy("w").agg(F.min("id").alias("node")))
-    found = components(wide_links(nodes, budget, group))
-    named = nodes.join(found, "node", "left").select("w", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "w").select(F.col("id").alias(id), "component_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[str | None, np.ndarray] = (None, np.zeros(0, "<u8"))
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, other = np.unique(_shingles(a.as_py(), shingle)), b.as_py()
+                if known[0] != other:
+                    known = (other, np.unique(_shingles(other, shingle)))
+                shared = len(np.intersect1d(x, known[1], assume_unique=True))
+                near.append(shared >= similarity * (len(x) + len(known[1]) - shared))
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def similar_nodes(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """Candidates (u, v, differ), u > v, to (node, component) of what verified candidates connect.
+
+    First every node's nearest candidate is verified, then, as long as untried candidates lead from one component to
+    another, the nearest eight of each two components, four times as many each time; what lies within a component needs no proof.
+    """
+    left, near, most = cut(edges), None, 8
+    tried = cut(left.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("x")).select("u", "x.v"))
+    while not tried.isEmpty():
+        new = cut(verified(tried, texts, similarity, shingle))
+        near = new if near is None else cut(near.unionByName(new))
+        found = cut(components(near))
+        left = left.join(tried, ["u", "v"], "left_anti")
+        for end in ("u", "v"):
+            named = found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+            left = left.drop(f"of_{end}").join(named, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        left = cut(left.where("of_u <> of_v"))
+        nearest = W.partitionBy(F.least("of_u", "of_v"), F.greatest("of_u", "of_v")).orderBy("differ", "u", "v")
+        tried = cut(left.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= most).select("u", "v"))
+        most *= 4
+    return found if near is not None else components(left.select("u", "v"))
+
+
+def grouped(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
+    """(at, id, text), `at` a row's place, to (at, id, keep): keep is (last, id, at) of the first row, by id, of those reached through similar texts."""
+    prints = written(wide_fingerprints(rows, shingle), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("first")
+    nodes = written(prints.groupBy("shingles").agg(first, F.min("w").alias("w"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = cut(wide_links(nodes.select("node", "w"), budget, group))
+    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.at").alias("at"))
+    texts = written(rows.select("at", "text").join(wanted, "at").select("node", "text"), "texts")
+    found = similar_nodes(edges, texts, similarity, shingle)
+    rooted = cut(nodes.join(found, "node", "left").select("shingles", "n", "first", F.coalesce("component", "node").alias("root")))
+    roots = cut(rooted.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("nodes")))
+    named = cut(joined_counted(rooted, roots, ["root"], "nodes", nodes.count()).select("shingles", "n", "keep"))
+    return joined_counted(prints.select("at", "id", "shingles"), named, ["shingles"], "n", prints.count()).select("at", "id", "keep")
+
+
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
+    """(id, component_id) of all rows: the least id reached through texts of similar shingles, null where none has one."""
+    rows = located(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "at")
+    return grouped(rows, **how).select(F.col("id").alias(id), F.col("keep.id").alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group of near duplicates (five-word shingles, similarity of about 0.8) the document with the smallest doc_id stays.
+    """Pipeline: of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays.
 
-    A text without words says nothing of its likeness to others, so its document stays, as does one whose doc_id is null.
+    A text without words says nothing of its likeness to others, so its document stays. Rows without doc_id rank last in their group.
     """
     small_batches(spark)
-    blank = words(F.col("text")) == 0
-    found = similar(docs.where(~blank))
-    n = unused(docs, "leaves")
-    leaving = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias(n["leaves"])).distinct())
+    n = unused(docs, "at")["at"]
+    rows = located(docs, n)
+    found = grouped(rows.where(words(F.col("text")) > 0).select(F.col(n).alias("at"), F.col("doc_id").cast("long").alias("id"), "text"))
+    leaving = cut(found.where("at <> keep.at").select(F.col("at").alias(n)))
     sent = F.broadcast(leaving) if leaving.count() <= SENT_ROWS else leaving
-    return docs.join(sent, docs["doc_id"] == sent[n["leaves"]], "left_anti")
+    return rows.join(sent, n, "left_anti").select(docs.columns)
