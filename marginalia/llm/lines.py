@@ -8,14 +8,14 @@ of the run have LEAST_RUN code points or more (about thirty words; a parameter).
 so left alone, and a copied passage goes wherever in a line it begins, but for the parts of sentences at its two ends. Offsets are code points of the
 original text and stay with the result.
 
-A row is known by its id, a hash of its text and a hash of its place (file and row number), and places are ranked by these and then by
-offset, so that rows that share an id, or have none, keep their own spans; of repeated rows one counts as the first.
+A row is known by its id (a hash of its text where it has none) and a hash of its place (file and row number), and places are ranked by
+these, rows without id last, and then by offset; so rows that share an id, or have none, keep their own spans, and of repeated rows one counts as the first.
 
 Counts and earliest places are summed before the shuffle. Units meet their earliest place by a join in which the digests
 with over a thousandth of all units are sent everywhere, so a line of every document fills no task.
 
 Defined results: a null text has no units, and stays null; an empty one stays empty; blank units (white space at a text's beginning) are
-no repeats and end a run; documents without an id come last in rank; an empty table gives an empty result. Other columns pass through.
+no repeats and end a run; an empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,7 +40,9 @@ LEAST_RUN = 200
 UNIT = r"[^\n.!?。！？]*[\n.!?。！？]+[\x20\x09-\x0D]*|[^\n.!?。！？]+"
 _UNIT = re.compile(UNIT)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_ROW = ("id", "hash", "at")
+_ROW = ("last", "id", "at")
+#: The low half of a span, its end.
+_STOP = (1 << 32) - 1
 
 
 def text_units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
@@ -50,35 +53,39 @@ def text_units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """(id, hash, at, text) to (id, hash, at, nth, start, stop, size, digest), a row for each unit that isn't blank."""
-    fields = [pa.field(c, pa.int64()) for c in _ROW] + [pa.field(c, pa.int32()) for c in ("nth", "start", "stop", "size")] + [pa.field("digest", pa.binary())]
+    """(last, id, at, text) to (last, id, at, span, size, d0, d1), a row for each unit that isn't blank: offsets in one long, code points, and the two halves of the digest."""
+    fields = [pa.field("last", pa.bool_()), pa.field("id", pa.int64()), pa.field("at", pa.int64()), pa.field("span", pa.int64()), pa.field("size", pa.int32()), pa.field("d0", pa.int64()), pa.field("d1", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, found = [], []
+            of, spans, sizes, digests = [], [], [], []
             for k, text in enumerate(batch.column("text")):
-                for nth, unit in enumerate(text_units(text.as_py() or "")):
-                    if unit[2]:
+                for a, b, size, digest in text_units(text.as_py() or ""):
+                    if size:
                         of.append(k)
-                        found.append((nth, *unit))
+                        spans.append(a << 32 | b)
+                        sizes.append(size)
+                        digests.append(digest)
                 if len(of) > 50_000 or k == batch.num_rows - 1:
-                    at = pa.array(of, pa.int64())
-                    columns = [batch.column(c).take(at) for c in _ROW] + [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields[3:], strict=True)] if found else [pa.array([], f.type) for f in fields]
+                    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    columns = [batch.column(c).take(pa.array(of, pa.int64())) for c in _ROW] + [pa.array(spans, pa.int64()), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
                     yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
-                    of, found = [], []
+                    of, spans, sizes, digests = [], [], [], []
 
-    return rows.select(*_ROW, "text").mapInArrow(run, "id long, hash long, at long, nth int, start int, stop int, size int, digest binary")
+    return rows.select(*_ROW, "text").mapInArrow(run, "last boolean, id long, at long, span long, size int, d0 long, d1 long")
 
 
 def repeats(rows: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
-    """(id, hash, at, text) to (id, hash, at, start, stop) of each run of repeated units that has least_run code points."""
+    """(last, id, at, text) to (last, id, at, start, stop) of each run of repeated units that has least_run code points."""
     found = written(units(rows), "units")
-    place = F.struct(F.col("id").isNull().alias("last"), *_ROW, "start")
-    common = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
-    again = joined_counted(found, common, ["digest"], "n", found.count()).where(place != F.col("first"))
-    # the number of a unit less its rank among the repeated ones is the same all along a run
-    by_row = W.partitionBy(*_ROW).orderBy("nth")
-    runs = again.select(*_ROW, "nth", "start", "stop", "size").withColumn("run", F.col("nth") - F.row_number().over(by_row))
+    place = F.struct(*_ROW, "span")
+    common = written(found.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    again = joined_counted(found, common, ["d0", "d1"], "n", found.count()).where(place != F.col("first"))
+    start, stop = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(_STOP).cast("int")
+    again = again.select(*_ROW, start.alias("start"), stop.alias("stop"), "size")
+    # the end of a unit, less the length of the repeated ones up to it, is the same all along a run
+    upto = F.sum(F.col("stop") - F.col("start")).over(W.partitionBy(*_ROW).orderBy("start").rowsBetween(W.unboundedPreceding, 0))
+    runs = again.withColumn("run", F.col("stop") - upto)
     runs = runs.groupBy(*_ROW, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("size").alias("size"))
     return runs.where(F.col("size") >= least_run).select(*_ROW, "start", "stop")
 
@@ -104,16 +111,17 @@ def without(df: DataFrame, text: str, spans: str) -> DataFrame:
 def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN, spans: str = "removed") -> DataFrame:
     """df with repeated runs cut from its text, and in `spans` what was cut: an array of (start, stop) in the original text."""
     df = df.drop(spans)
-    n = unused(df, "_at", "_id", "_hash", "_place", "_spans")
-    placed = located(df, n["_at"])
-    place = F.xxhash64(F.col(n["_at"])["file"], F.col(n["_at"])["row"])
-    rows = placed.select("*", F.col(id).cast("long").alias(n["_id"]), F.xxhash64(text).alias(n["_hash"]), place.alias(n["_place"])).drop(n["_at"])
-    narrow = rows.select(F.col(n["_id"]).alias("id"), F.col(n["_hash"]).alias("hash"), F.col(n["_place"]).alias("at"), F.col(text).alias("text"))
-    found = repeats(narrow, least_run).groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(n["_spans"]))
-    found = found.select(F.col("id").alias("_k0"), F.col("hash").alias("_k1"), F.col("at").alias("_k2"), n["_spans"])
-    same = rows[n["_id"]].eqNullSafe(found["_k0"]) & (rows[n["_hash"]] == found["_k1"]) & (rows[n["_place"]] == found["_k2"])
+    n = unused(df, "_file", "_last", "_id", "_at", "_spans")
+    placed = located(df, n["_file"])
+    known = F.col(id).cast("long")
+    rows = placed.select(
+        *df.columns, known.isNull().alias(n["_last"]), F.coalesce(known, F.xxhash64(text)).alias(n["_id"]), F.xxhash64(F.col(n["_file"])["file"], F.col(n["_file"])["row"]).alias(n["_at"])
+    )
+    key = [n["_last"], n["_id"], n["_at"]]
+    narrow = rows.select(*(F.col(n[f"_{c}"]).alias(c) for c in _ROW), F.col(text).alias("text"))
+    found = repeats(narrow, least_run).groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(n["_spans"])).withColumnsRenamed({c: n[f"_{c}"] for c in _ROW})
     nothing = F.array().cast("array<struct<start:int,stop:int>>")
-    both = rows.join(found, same, "left").select(*(rows[c] for c in df.columns), F.coalesce(found[n["_spans"]], nothing).alias(spans))
+    both = rows.join(found, key, "left").select(*df.columns, F.coalesce(n["_spans"], nothing).alias(spans))
     return without(both, text, spans)
 
 
