@@ -120,9 +120,11 @@ class Segment(NamedTuple):
     budget: int
 
 
-def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: np.ndarray, without: np.ndarray | None = None) -> list[np.ndarray]:
     """Unites, in `parent`, the nodes `at` of all keys within the budget; returns the pairs of places that joined two sets.
 
+    without: pairs (i, j) that don't count, as i * n + j in ascending order.
+
     The keys ascend, without repeats, in every range. ranges: rows (from, to, from, to), the two tries to join; the
     same one twice joins a trie with itself. Pairs of subtries that are of one component already are left out, so
     that a dense family costs about its size and not its square.
@@ -153,9 +155,13 @@ def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: n
             for segment in keys:
                 differ = differ + np.bitwise_count(segment.values[i] ^ segment.values[j]).astype(np.int64)
                 near &= differ <= segment.budget
-            i, j = i[near], j[near]
-            some = _unite(parent, at[i], at[j])
-            joined.append(np.stack([i[some], j[some]]))
+            if without is not None and len(without):
+                code = i * n + j
+                near &= without[np.minimum(np.searchsorted(without, code), len(without) - 1)] != code
+            # the nearer ones first
+            for part in (near & (2 * differ <= keys[-1].budget), near & (2 * differ > keys[-1].budget)):
+                some = _unite(parent, at[i[part]], at[j[part]])
+                joined.append(np.stack([i[part][some], j[part][some]]))
             a0, a1, b0, b1, errors = a0[~leaf], a1[~leaf], b0[~leaf], b1[~leaf], errors[~leaf]
             if not len(a0):
                 continue
@@ -174,11 +180,11 @@ def trie_join(keys: list[Segment], ranges: np.ndarray, parent: np.ndarray, at: n
     return joined
 
 
-def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segment], budgets: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segment], forests: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Near pairs (node, other, differing bits) that connect what the tries of all tasks connect.
 
-    A task of side 0 is joined with itself, sides 1 and 2 of a task with each other. budgets: those of the last segments to try
-    before the keys' own, ascending, so that the nearest pairs are linked first.
+    A task of side 0 is joined with itself, sides 1 and 2 of a task with each other. forests: how many spanning forests, no two of
+    one pair, are taken one after the other; any cut that so many pairs or more cross is crossed by so many of them.
     """
     order = np.lexsort((*(k.values for k in reversed(keys)), side, task))
     task, side, node = task[order], side[order], node[order]
@@ -197,10 +203,15 @@ def forest(task: np.ndarray, side: np.ndarray, node: np.ndarray, keys: list[Segm
     own = (side[first] == 0) & (last - first > 1)
     left = np.flatnonzero((side[first[:-1]] == 1) & (side[first[1:]] == 2) & (task[first[:-1]] == task[first[1:]]))
     pairs = [np.stack([first[own], last[own], first[own], last[own]], axis=1), np.stack([first[left], last[left], first[left + 1], last[left + 1]], axis=1)]
-    for budget in (*budgets, None):
-        within = keys if budget is None else [keys[0], *(k._replace(budget=min(k.budget, budget)) for k in keys[1:])]
-        for i, j in trie_join(within, np.concatenate(pairs), parent, at):
-            out.append((at[i], at[j], sum(np.bitwise_count(k.values[i] ^ k.values[j]).astype(np.int64) for k in keys)))
+    without = np.zeros(0, np.int64)
+    for k in range(forests):
+        joined = trie_join(keys, np.concatenate(pairs), np.arange(len(ids)) if k else parent, at, without)
+        found = np.concatenate([np.zeros((2, 0), np.int64), *joined], axis=1)
+        if not found.size:
+            break
+        i, j = found
+        without = np.sort(np.concatenate([without, i * len(at) + j]))
+        out.append((at[i], at[j], sum(np.bitwise_count(x.values[i] ^ x.values[j]).astype(np.int64) for x in keys)))
     u, v, differ = (np.concatenate(x) for x in zip(*out, strict=True))
     return ids[np.maximum(u, v)], ids[np.minimum(u, v)], differ
 
@@ -294,8 +305,8 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 SHORTS, SHORT_BUDGET = 24, 2
 #: Bits of a further fingerprint of 128 that may differ in a candidate: 0.8 gives 19 on average, with a deviation of 4.
 WIDE_BUDGET = 32
-#: What is tried before, so that a task's forest is made of its nearest pairs.
-NEARER = (10, 20)
+#: Spanning forests of candidates that a task returns: more than one, as a candidate that fails must not hide one that holds.
+FORESTS = 3
 LONGS = SHORTS // 2 + 2
 
 
@@ -381,7 +392,7 @@ def wide_links(nodes: DataFrame, budget: int = WIDE_BUDGET, group: int = GROUP)
             else:
                 task, short, side = column("task"), column("short").view(np.uint64), column("side")
             keys = [Segment(short, 32, SHORT_BUDGET), Segment(column("c0").view(np.uint64), 64, SHORT_BUDGET + budget), Segment(column("c1").view(np.uint64), 64, SHORT_BUDGET + budget)]
-            u, v, differ = forest(task, side, column("node"), keys, NEARER)
+            u, v, differ = forest(task, side, column("node"), keys, FORESTS)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(differ, pa.int64())], ["u", "v", "differ"])
 
     # so many rows a partition whatever the session's settings: that is what a Python worker holds
