@@ -4,7 +4,8 @@ Targets: the sources, in order of code points with null last, weigh 5, 2, 1 and
 all documents; a source stops at REPEATS times its own words and what it can't use is shared among the others by
 weight, until none is above (water filling, in closed form over the sources sorted by the level at which they fill).
 
-Which documents: a source's stream is its documents in order of md5(doc_id), repeated as often as needed. The mix
+Which documents: a source's stream is its documents in order of md5(doc_id), then of doc_id, size and md5 of the text (a caller's `tie`),
+repeated as often as needed. The mix
 takes the stream's first `target` words; the document at the end of it is cut there, so every source's taken words
 are its target, rounded down.
 
@@ -14,11 +15,12 @@ that demand reaches the document's place in the stream, which is the root of a q
 range on the position.
 
 Running sums are taken in two steps, over BUCKETS buckets of a source's stream and inside a bucket, so no task holds
-a source. The sources themselves (names and sums, not documents) are ranked in one task.
+a source. Sources are numbered by range partitions and a count of each, and the level of the water is found by rounds of
+sums over all of them, so many sources (hosts, say) fill no task either.
 
 DataFrame functions only. Defined results: null texts have size 0 and are taken 0 words of; a null source is a source,
-ordered last; documents without doc_id come last in their source; an empty table gives an empty result; equal rows
-are told apart by nothing and each take a place.
+ordered last; documents without doc_id come last in their source, in order of md5 of the text; an empty table gives an empty result; equal rows
+are told apart by nothing and each take a place, so reruns agree on the rows of the result.
 """
 
 from __future__ import annotations
@@ -44,35 +46,45 @@ def _nth(values: tuple, n: Column) -> Column:
 
 def targets(sizes: DataFrame, repeats: int = REPEATS, weights: tuple = WEIGHTS, slopes: tuple = SLOPES) -> DataFrame:
     """(source, source_size) to the same with weight, slope and target."""
-    ranked = sizes.withColumn("nth", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranged = cut(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    # a row for each partition: how many sources the ones before hold
+    parts = cut(ranged.groupBy("part").agg(F.count("*").alias("held")))
+    before = parts.alias("a").join(F.broadcast(parts.alias("b")), F.expr("b.part < a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.held"), F.lit(0)).alias("before"))
+    own = W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    ranked = ranged.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(before), "part").withColumn("nth", F.col("before") + F.col("own"))
     ranked = ranked.withColumn("weight", _nth(weights, F.col("nth"))).withColumn("slope", _nth(slopes, F.col("nth")))
-    ranked = ranked.withColumn("cap", repeats * F.col("source_size")).withColumn("fills", F.col("cap") / F.col("weight"))
-    order = W.orderBy("fills", "nth")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    all_rows = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ranked = (
-        ranked.withColumn("caps", F.sum("cap").over(upto)).withColumn("used", F.sum("weight").over(upto))
-        .withColumn("total", F.sum("source_size").over(all_rows)).withColumn("weights", F.sum("weight").over(all_rows))
-    )
-    # the level once this source and all that fill before it are full; it is right if the next one isn't full at it
-    before = (F.col("total") - (F.col("caps") - F.col("cap"))) / (F.col("weights") - (F.col("used") - F.col("weight")))
-    ranked = ranked.withColumn("before", before).withColumn("full", F.col("fills") <= F.col("before"))
-    ranked = ranked.withColumn("level", F.min(F.when(~F.col("full"), F.struct("fills", "nth", "before"))).over(all_rows)["before"])
-    target = F.when(F.col("full") | F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level"))
+    ranked = cut(ranked.withColumn("cap", repeats * F.col("source_size")).withColumn("fills", F.col("cap") / F.col("weight")).drop("part", "own", "before", "nth"))
+    level = None
+    while True:
+        # who is full at a level stays full as it rises
+        full = F.lit(False) if level is None else F.col("fills") <= level
+        total, caps, weight = ranked.agg(F.sum("source_size"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if weight is None or (now := (total - caps) / weight) == level:
+            break
+        level = now
+    target = F.col("cap").cast("double")
+    if weight is not None:
+        target = F.when(F.col("fills") <= level, target).otherwise(F.col("weight") * F.lit(level))
     return ranked.select("source", "source_size", "weight", "slope", target.alias("target"))
 
 
+def _key() -> Column:
+    """A key without null, so that windows and joins need the same partitioning and the rows move once."""
+    return F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
+
+
 def placed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """(doc_id, source, size) to the same with source_size, target, slope and `begins`, the words before it in its source's stream."""
-    # a key without null, so that the windows and the join below need the same partitioning and the rows move once
-    keyed = docs.withColumn("key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
-    keyed = keyed.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = keyed.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit("g")).otherwise(F.substring("digest", 1, DIGITS)))
+    """(doc_id, source, size, tie) to the same with source_size, target, slope and `begins`, the words before it in its source's stream."""
+    if "tie" not in docs.columns:
+        docs = docs.withColumn("tie", F.lit(""))
+    keyed = docs.withColumn("key", _key()).withColumn("digest", F.coalesce(F.md5(F.col("doc_id").cast("string")), "tie"))
+    # "g" comes after all hex digits
+    keyed = keyed.withColumn("bucket", F.concat(F.when(F.col("doc_id").isNull(), "g").otherwise(""), F.substring("digest", 1, DIGITS)))
     buckets = cut(keyed.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")))
-    sources = targets(buckets.groupBy("key", "source").agg(F.sum("words").alias("source_size")), repeats).withColumn("key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+    sources = targets(buckets.groupBy("key", "source").agg(F.sum("words").alias("source_size")).drop("key"), repeats).withColumn("key", _key())
     earlier = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = buckets.withColumn("start", earlier).drop("words", "source").join(sources.drop("source"), "key")
-    inside = W.partitionBy("key", "bucket").orderBy("digest", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("key", "bucket").orderBy("digest", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     both = keyed.join(starts, ["key", "bucket"])
     return both.withColumn("begins", F.col("start") + F.col("inside")).drop("digest", "bucket", "key", "start", "inside")
@@ -92,11 +104,12 @@ def _position(place: Column) -> Column:
 
 
 def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """(doc_id, source, size) to size, source_size, target, taken and first_position, a row for each row."""
+    """(doc_id, source, size, tie) to size, source_size, target, taken and first_position, a row for each row, range-sorted by that position."""
     found = placed(docs, repeats)
     taken = sum((_taken(e) for e in range(repeats)), F.lit(0)).cast("long")
     first = F.when(F.col("begins") < F.floor("target"), _position(F.col("begins")))
-    return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), first.alias("first_position"))
+    found = found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), first.alias("first_position"))
+    return found.repartitionByRange(F.col("first_position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id", "size")
 
 
 def uses(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -112,8 +125,8 @@ def schedule(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's size, its source's size and target, and the words the mix takes of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
+    """Every document's size, its source's size and target, and the words the mix takes of it, in order of first use."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
@@ -123,7 +136,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The last use of a source may be cut: its text then ends after the words that were taken. Documents
     without words weigh nothing, so no target holds for them; they stay, once.
     """
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), tie.alias("tie"), F.struct(*docs.columns).alias("row"))
     taken = uses(sized.where("size > 0")).select("doc_id", "position", "epoch", "taken", "size", "row")
     still = sized.where("size = 0").select("doc_id", F.lit(None).cast("double").alias("position"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("taken"), "size", "row")
     # cut between a word and white space; a repeated group in one pattern would overflow the stack on long texts
@@ -137,7 +151,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: DuckDB; {docs} is a relation with doc_id, source and size.
 _SQL = f"""
-WITH keyed AS (SELECT doc_id, source, size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest, doc_id IS NULL AS last FROM {{docs}}),
+WITH keyed AS (SELECT doc_id, source, size, coalesce(md5(CAST(doc_id AS VARCHAR)), tie) AS digest, tie, doc_id IS NULL AS last FROM {{docs}}),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source),
 nth AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sizes),
 weighed AS (SELECT *, [5, 2, 1][CAST(nth % 3 + 1 AS INTEGER)] AS weight, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][CAST(nth % 3 + 1 AS INTEGER)] AS slope, {REPEATS} * source_size AS cap FROM nth),
@@ -147,7 +161,7 @@ leveled AS (SELECT *, CAST(total - (caps - cap) AS DOUBLE) / CAST(weights - (use
 level AS (SELECT arg_min(before, (fills, nth)) AS level FROM leveled WHERE fills > before),
 targets AS (SELECT source, source_size, slope, CASE WHEN fills <= before OR level IS NULL THEN CAST(cap AS DOUBLE) ELSE CAST(weight AS DOUBLE) * level END AS target FROM leveled, level),
 placed AS (SELECT k.doc_id, k.size, k.source, t.source_size, t.target, t.slope,
-  CAST(coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.last, k.digest, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
+  CAST(coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.last, k.digest, k.doc_id, k.size, k.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
   FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)"""
 
 
@@ -161,7 +175,7 @@ def _position_sql(place: str) -> str:
 
 
 def sized_sql(relation: str, more: str = "") -> str:
-    return f"(SELECT doc_id, source{more}, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM {relation})"
+    return f"(SELECT doc_id, source{more}, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(text, '')) AS tie FROM {relation})"
 
 
 ORACLE_SQL = _SQL.format(docs=sized_sql("documents")) + f"""

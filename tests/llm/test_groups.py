@@ -154,7 +154,7 @@ def test_similar_equals_brute_force(spark):
         base = [f"f{f}w{draw.randrange(10**6)}" for _ in range(400)]
         for m in range(6):
             out = list(base)
-            for k in draw.sample(range(400), 3 * m + f % 3):
+            for k in draw.sample(range(400), 2 * m + f % 3):
                 out[k] = f"x{draw.randrange(10**6)}"
             texts.append(" ".join(out))
     texts += ["", "", "one two", "one two", "one two three", None]
@@ -162,7 +162,7 @@ def test_similar_equals_brute_force(spark):
     found = dict(found.collect())
     expected = brute_components(texts, lambda a, b: jaccard(a, b) >= simhash.SIMILARITY)
     near = [(a, b) for b in range(len(texts)) for a in range(b) if jaccard(texts[a], texts[b]) >= simhash.SIMILARITY]
-    assert len(near) > 50 and sum(found[a] == found[b] for a, b in near) >= 0.95 * len(near)
+    assert len(near) > 50 and sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
     # no link without proof: what is one component here is one by brute force
     assert all(expected[k] == expected[c] for k, c in found.items())
 
@@ -219,11 +219,13 @@ def test_exact_stage(spark):
 
 
 def sized(df):
-    return df.select("doc_id", "source", words(F.col("text")).alias("size"))
+    return df.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
 
 
 def test_mixing_equals_sql(spark):
-    rows = edges(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    # ids that repeat, on one size or on several, and ids that are missing
+    more = spark.createDataFrame([(8, "same", "en", "b", 4), (8, "other words here", "en", "b", 4), (8, "same too", "en", "b", 4), (8, "also same", "en", "b", 4), (None, "no id as well", "en", "a", 1), (None, "none", "en", "a", 1)], edges(spark).schema)
+    rows = edges(spark).unionByName(more)
     found = mixing.mixed(sized(rows)).select("doc_id", "size", "source_size", "target", "taken", "first_position")
     same_as_sql(found, mixing.ORACLE_SQL, documents=rows)
     assert mixing.mixed(sized(empty(spark))).count() == 0
@@ -244,6 +246,17 @@ def test_targets_fill_up(spark, sizes):
     assert [found[f"s{k}"] for k in range(len(sizes))] == pytest.approx(targets)
 
 
+def test_targets_of_many_sources(spark):
+    """More sources than a task should hold: the numbers run on from one range to the next."""
+    names = [f"host{k:05d}" for k in range(2_000)]
+    draw = random.Random(2)
+    rows = [(name, draw.randrange(1, 10_000)) for name in [*names, None]]
+    found = mixing.targets(spark.createDataFrame(rows, "source string, source_size long").repartition(7)).collect()
+    weights = {r["source"]: r["weight"] for r in found}
+    assert [weights[n] for n in [*names, None]] == [mixing.WEIGHTS[k % 3] for k in range(2_001)]
+    assert sum(r["target"] for r in found) == pytest.approx(sum(n for _, n in rows)) and all(r["target"] <= 3 * r["source_size"] for r in found)
+
+
 def test_schedule_follows_the_curriculum(spark):
     rows = spark.createDataFrame([(k, f"s{k % 3}", 10) for k in range(3000)], "doc_id long, source string, size long")
     found = mixing.schedule(rows).toPandas()
@@ -261,8 +274,7 @@ def test_mixing_stage(spark):
     uses = found.select("doc_id", "source", words(F.col("text")).alias("n")).toPandas()
     targets = mixing.mixed(sized(rows)).toPandas()
     assert uses["n"].sum() == targets["taken"].sum()
-    blank = found.where("text is null or trim(text) = ''").count()
-    assert blank == sum(1 for e in EDGES if not (e[1] or "").strip(" \t\n")) - 0 or blank >= 3
+    assert (uses["n"] == 0).sum() == sum(1 for e in EDGES if not (e[1] or "").strip(" \t\n"))
     assert mixing.stage(spark, empty(spark), "").count() == 0
 
 
