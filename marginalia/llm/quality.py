@@ -7,7 +7,7 @@ a logistic output. Only documents have labels; which passages matter is learned
 of all parts, from the labelled rows that may be learned from.
 
 Defined results: null and empty texts have one passage whose encoding is zero; whole texts are read, whatever their
-length; null labels are left out, of several labels of a doc_id the largest counts; with no labels, or one kind of
+length, to be scored, and the fit takes FIT_PASSAGES of a text's passages, spread over all of it, where it has more; null labels are left out, of several labels of a doc_id the largest counts; with no labels, or one kind of
 them, every score is that share of ones (0.5 without any). Rows with null doc_id are scored like any other and are not
 held out.
 """
@@ -30,6 +30,8 @@ from marginalia.llm.toxicity import held_out, labelled
 PASSAGE = 64
 #: Labelled rows that the fit uses, about; drawn by a hash of doc_id where there are more.
 FIT_ROWS = 6_000
+#: Passages of a labelled text that the fit uses at most, so the driver gets FIT_ROWS * FIT_PASSAGES rows of WIDTH numbers, whatever the texts' length.
+FIT_PASSAGES = 64
 HIDDEN, GATE = 16, 8
 EPOCHS, RATE, DECAY, SEED = 250, 0.02, 1e-3, 7
 
@@ -41,6 +43,11 @@ for _k, _group in enumerate(_GROUPS):
 WIDTH = len(_GROUPS) + 1 + 9
 
 
+def spread(passages: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """At most so many passages, at even distances, the first and the last among them."""
+    return passages if len(passages) <= most else passages[np.linspace(0, len(passages) - 1, most).round().astype(int)]
+
+
 def encode(text: str | None) -> np.ndarray:
     """A row for each passage."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -131,9 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [encode(t.as_py()).astype(np.float32).tobytes() for t in batch.column("text")]
+            found = [spread(encode(t.as_py())).astype(np.float32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("label").cast(pa.int32())], ["x", "label"])
 
+    # at most FIT_ROWS * FIT_PASSAGES * WIDTH floats
     rows_ = sorted((bytes(r["x"]), r["label"]) for r in sample.mapInArrow(run, "x binary, label int").collect())
     bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x, _ in rows_]
     if not bags:

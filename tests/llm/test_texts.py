@@ -187,4 +187,7 @@ def test_attention_gradient():
 
 
 def test_long_texts_have_all_their_passages():
+    many = quality.encode(" ".join(f"w{k}" for k in range(100_000)))
+    some = quality.spread(many)
+    assert len(some) == quality.FIT_PASSAGES and (some[0] == many[0]).all() and (some[-1] == many[-1]).all() and len(quality.spread(many[:5])) == 5
     assert len(quality.encode("a " * 1000)) == -(-1000 // quality.PASSAGE) and len(quality.encode(None)) == 1
