@@ -9,8 +9,9 @@ the chances add up to the table's part of AIM; nothing else bounds the buckets o
 ranked by the exact inner product and merged over tables.
 
 Buckets are packed into shards of about SHARD rows by their counts (a bounded histogram); a bucket larger than a shard is
-split over several. A query goes to the shards that hold a bucket it visits, in blocks of BLOCK queries, so that a
-task holds a bounded number of both. Queries that found fewer neighbours than there are go again over all buckets.
+split over several. A query goes to the shards that hold a bucket it visits; rows go to one shard a table, whatever the
+number of queries. A task holds the rows of one shard and streams its queries past them, in Arrow batches sorted by shard, so neither
+side has a bound to keep. Queries that found fewer neighbours than there are go again over all buckets.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without vec_id; ties go to the smaller vec_id; of repeated vec_ids the best row counts; with fewer candidates than k
@@ -37,9 +38,8 @@ TABLES, HASHES, WIDTH, SEED = 4, 8, 1.0, 11
 AIM = 0.97
 #: Rows that the fit of projections and spreads uses, about.
 FIT_ROWS = 4_000
-SHARD, BLOCK = 20_000, 20_000
-#: Up to so many rows every bucket is visited.
-FEW = 2_000
+#: Rows of a shard.
+SHARD = 20_000
 
 _cdf = np.vectorize(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))), otypes=[float])
 
@@ -156,8 +156,17 @@ def _arrays(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
 
 
-def _dealt(rows: DataFrame, index: Index, shards: Shards, blocks: int) -> DataFrame:
-    """Rows to (shard, block, id, bucket, v), once a table and block of queries."""
+#: What both sides of a shard are dealt as: rows (side 0) with their bucket, then queries (side 1) with those they visit.
+_DEALT = "shard long, side int, id long, buckets binary, v array<double>"
+
+
+def _batch(shard: np.ndarray, side: int, ids: np.ndarray, buckets: list[bytes], x: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(shard, pa.int64()), pa.array(np.full(len(ids), side), pa.int32()), pa.array(ids, pa.int64()), pa.array(buckets, pa.binary()), _arrays(x)]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "side", "id", "buckets", "v"])
+
+
+def _dealt(rows: DataFrame, index: Index, shards: Shards) -> DataFrame:
+    """Rows to the shard of their bucket, once a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,14 +177,13 @@ def _dealt(rows: DataFrame, index: Index, shards: Shards, blocks: int) -> DataFr
             for t in range(TABLES):
                 b = found[:, t]
                 shard = shards.first[t, b] + (ids * 2654435761 % (1 << 32)) % shards.parts[t, b]
-                for block in range(blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(b), _arrays(x)], ["shard", "block", "id", "bucket", "v"])
+                yield _batch(shard, 0, ids, [n.tobytes() for n in b.astype(np.int16)], x)
 
-    return rows.mapInArrow(run, "shard long, block long, id long, bucket long, v array<double>")
+    return rows.mapInArrow(run, _DEALT)
 
 
-def _sent(queries: DataFrame, index: Index, shards: Shards, blocks: int, aim: float) -> DataFrame:
-    """Queries to (shard, block, id, buckets, v), once for each shard that holds a bucket they visit."""
+def _sent(queries: DataFrame, index: Index, shards: Shards, aim: float) -> DataFrame:
+    """Queries to each shard that holds a bucket they visit, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,49 +202,66 @@ def _sent(queries: DataFrame, index: Index, shards: Shards, blocks: int, aim: fl
                         shard += at[edge].tolist()
                         own += [i] * len(edge)
                         buckets += [x.astype(np.int16).tobytes() for x in np.split(visited, edge[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(ids[own] // K % blocks), pa.array(ids[own]), pa.array(buckets, pa.binary()), _arrays(q[own])], ["shard", "block", "id", "buckets", "v"])
-
-    return queries.mapInArrow(run, "shard long, block long, id long, buckets binary, v array<double>")
-
-
-def _best(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k best of the rows in the buckets that each query visits."""
-    ids, bucket = rows.column("id").to_numpy(), rows.column("bucket").to_numpy()
-    x = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-    names, at = np.unique(bucket, return_inverse=True)
-    q_ids = queries.column("id").to_numpy()
-    q = queries.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
-    visits = queries.column("buckets").to_pylist()
-    out_q, out_id, out_score = [], [], []
-    for a in range(0, len(q_ids), 128):
-        own = q[a : a + 128]
-        seen = np.zeros((len(own), 3**HASHES), bool)
-        for i, v in enumerate(visits[a : a + 128]):
-            seen[i, np.frombuffer(v, np.int16)] = True
-        scores = own @ x.T
-        scores[~seen[:, names][:, at]] = -np.inf
-        scores[q_ids[a : a + 128, None] == ids] = -np.inf
-        last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf)
-        for i, row in enumerate(scores):
-            # a margin over the rounding of the block product: equal vectors must tie exactly
-            some = np.flatnonzero((row >= last[i] - 1e-9 * (1 + abs(last[i]))) & (row > -np.inf)) if last[i] > -np.inf else np.flatnonzero(row > -np.inf)
-            exact = (x[some] * own[i]).sum(axis=1)
-            order = np.lexsort((ids[some], -exact))[:k]
-            out_q += [int(q_ids[a + i])] * len(order)
-            out_id += ids[some][order].tolist()
-            out_score += exact[order].tolist()
-    return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_id, pa.int64()), "score": pa.array(out_score, pa.float64())})
-
-
-def _round(rows: DataFrame, queries: DataFrame, index: Index, shards: Shards, blocks: int, aim: float, k: int) -> DataFrame:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return _best(left, right, k)
-
-    left = _dealt(rows, index, shards, blocks).groupBy("shard", "block")
-    right = _sent(queries, index, shards, blocks, aim).groupBy("shard", "block")
-    found = left.cogroup(right).applyInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                yield _batch(np.array(shard), 1, ids[own], buckets, q[own])
+
+    return queries.mapInArrow(run, _DEALT)
+
+
+class _Held:
+    """The rows of one shard, and the k best of them in the buckets that queries visit."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        found = [_ids(p) for p in parts]
+        self.ids, self.x = np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found])
+        bucket = np.frombuffer(b"".join(b for p in parts for b in p.column("buckets").to_pylist()), np.int16)
+        self.names, self.at = np.unique(bucket, return_inverse=True)
+
+    def best(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        ids, x = self.ids, self.x
+        q_ids, q = _ids(queries)
+        visits = queries.column("buckets").to_pylist()
+        out_q, out_id, out_score = [], [], []
+        for a in range(0, len(q_ids), 128):
+            own = q[a : a + 128]
+            seen = np.zeros((len(own), 3**HASHES), bool)
+            for i, v in enumerate(visits[a : a + 128]):
+                seen[i, np.frombuffer(v, np.int16)] = True
+            scores = own @ x.T
+            scores[~seen[:, self.names][:, self.at]] = -np.inf
+            scores[q_ids[a : a + 128, None] == ids] = -np.inf
+            last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf)
+            for i, row in enumerate(scores):
+                # a margin over the rounding of the block product: equal vectors must tie exactly
+                some = np.flatnonzero((row >= last[i] - 1e-9 * (1 + abs(last[i]))) & (row > -np.inf)) if last[i] > -np.inf else np.flatnonzero(row > -np.inf)
+                exact = (x[some] * own[i]).sum(axis=1)
+                order = np.lexsort((ids[some], -exact))[:k]
+                out_q += [int(q_ids[a + i])] * len(order)
+                out_id += ids[some][order].tolist()
+                out_score += exact[order].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_score, pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def _round(rows: DataFrame, queries: DataFrame, index: Index, shards: Shards, aim: float, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        held, at = None, None
+        for batch in batches:
+            shard, side = batch.column("shard").to_numpy(), batch.column("side").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(shard)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if shard[a] != at:
+                    parts, held, at = [], None, shard[a]
+                if side[a] == 0:
+                    parts.append(batch.slice(a, b - a))
+                elif parts:
+                    held = held or _Held(parts)
+                    yield held.best(batch.slice(a, b - a), k)
+
+    both = _dealt(rows, index, shards).unionByName(_sent(queries, index, shards, aim))
+    found = both.repartition("shard").sortWithinPartitions("shard", "side").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -250,7 +275,6 @@ def search(df: DataFrame, ask: Column, id: str = "vec_id", vector: str = "embedd
     if n < 2 or not m:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(rows, n)
-    aim = 1.0 if n <= FEW else aim
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TABLES, 3**HASHES), np.int64)
@@ -265,15 +289,15 @@ def search(df: DataFrame, ask: Column, id: str = "vec_id", vector: str = "embedd
     histogram = np.zeros((TABLES, 3**HASHES), np.int64)
     for r in rows.mapInArrow(count, "t long, b long, n long").groupBy("t", "b").agg(F.sum("n").alias("n")).collect():
         histogram[r["t"], r["b"]] = r["n"]
-    shards, blocks = Shards.pack(histogram, SHARD), -(-m // BLOCK)
-    found = cut(_round(rows, queries, index, shards, blocks, aim, k))
+    shards = Shards.pack(histogram, SHARD)
+    found = cut(_round(rows, queries, index, shards, aim, k))
     if aim >= 1:
         return found
     few = found.groupBy("query_id").count().where(F.col("count") == min(k, n - 1)).select(F.col("query_id").alias("id"))
     rest = cut(queries.join(few, "id", "left_anti"))
     if rest.isEmpty():
         return found
-    again = _round(rows, rest, index, shards, blocks, 1.0, k)
+    again = _round(rows, rest, index, shards, 1.0, k)
     return found.join(rest.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
 
 

@@ -109,6 +109,39 @@ def test_wrapper_drops_constants_and_keeps_varying_blocks_in_articles(spark):
     assert copies == {k: f"{k} One text that all have" for k in range(3)}
 
 
+def test_wrapper_of_the_host_decides_on_a_marked_page(spark):
+    """One page on two hosts: what all pages of a host have is its template there, and text on the other."""
+    page = "<article><h1>{t}</h1><div class=letter><p>Write to us for news</p></div><p>{t} is what this one is about, at some length.</p></article>"
+    same = page.format(t="Harbour")
+    rows = [(0, "http://a.example/0", same), (100, "http://b.example/0", same)]
+    rows += [(k, f"http://a.example/{k}", page.format(t=f"Title {k}")) for k in range(1, 5)]
+    rows += [(100 + k, f"http://b.example/{k}", f"<article><h1>Other {k}</h1><p>Only of page {k}</p><p>And number {k * k} is what it says.</p></article>") for k in range(1, 5)]
+    found = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found[0] == "Harbour Harbour is what this one is about, at some length."
+    assert found[100] == "Harbour Write to us for news Harbour is what this one is about, at some length."
+
+
+def test_alignment_by_brute_force():
+    """Simple tree matching against all order-preserving alignments of children."""
+    import itertools
+
+    draw = random.Random(8)
+
+    def tree(depth):
+        return [draw.choice("ab"), 1, 0, 0, 0, 0, [tree(depth - 1) for _ in range(draw.randrange(4))] if depth else []]
+
+    def best(a, b):
+        if a[0] != b[0]:
+            return 0
+        x, y = a[6], b[6]
+        some = lambda n, m: itertools.combinations(range(n), m)
+        return 1 + max(sum(best(x[i], y[j]) for i, j in zip(p, q, strict=True)) for m in range(min(len(x), len(y)) + 1) for p in some(len(x), m) for q in some(len(y), m))
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        assert wrappers._match(a, b)[0] == best(a, b) == wrappers._match(b, a)[0]
+
+
 def test_simple_tree_matching():
     tree = lambda kind, *c: [kind, 1, 0, 0, 0, 0, list(c)]
     a = tree("a", tree("b"), tree("c", tree("d")), tree("e"))
@@ -146,12 +179,35 @@ def test_recall(spark):
     assert np.mean([len(set(ours[q]) & set(expected[q])) / 20 for q in expected]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [60, 400, 1500])
+def test_recall_of_small_tables(spark, n):
+    """No size has a way of its own: small tables are pruned as large ones are."""
+    x, ids = vectors(n, seed=n).astype(np.float32).astype(float), np.arange(n)
+    found = ann.search(frame(spark, x, ids), F.col("id") % 20 == 0).toPandas()
+    expected = exact_lists(x, ids, ids % 20 == 0)
+    ours = found.sort_values(["query_id", "rank"]).groupby("query_id")["vec_id"].apply(list)
+    assert (ours.map(len) == 20).all() and np.mean([len(set(ours[q]) & set(expected[q])) / 20 for q in expected]) >= 0.9
+
+
+def test_shards_stream_their_queries(spark, monkeypatch):
+    """Rows and queries of a shard come in many batches; all buckets visited, the lists are exact."""
+    x, ids = vectors(700, seed=5).astype(np.float32).astype(float), np.arange(700)
+    monkeypatch.setattr(ann, "SHARD", 90)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = ann.search(frame(spark, x, ids), F.col("id") % 7 == 0, aim=1.0).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    ours = found.sort_values(["query_id", "rank"]).groupby("query_id")["vec_id"].apply(list).to_dict()
+    assert ours == exact_lists(x, ids, ids % 7 == 0)
+
+
 def test_ties_and_copies(spark, monkeypatch):
     x = np.vstack([np.tile(vectors(1), (300, 1)), vectors(50, seed=1)]).astype(np.float32).astype(float)
     ids = np.arange(350)
     monkeypatch.setattr(ann, "SHARD", 40)
-    monkeypatch.setattr(ann, "BLOCK", 5)
-    found = ann.search(frame(spark, x, ids), F.col("id") % 20 == 0).toPandas()
+    found = ann.search(frame(spark, x, ids), F.col("id") % 20 == 0, aim=1.0).toPandas()
     ours = found.sort_values(["query_id", "rank"]).groupby("query_id")["vec_id"].apply(list).to_dict()
     assert ours == exact_lists(x, ids, ids % 20 == 0)
 
