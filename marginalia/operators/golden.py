@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import chapter_key
 from marginalia.operators.review import shaped
+from marginalia.session import cut
 
 #: Columns that a comparison leaves out (fixed values).
 IGNORED = ("id", "confidence_score_base", "chapter_index", "chapter_name", "chapter_group")
@@ -39,7 +40,7 @@ def chapter_counts(golden: DataFrame, actual: DataFrame) -> DataFrame:
 
 def differences(golden: DataFrame, actual: DataFrame) -> DataFrame:
     """(chapter_key, n, columns, golden, actual) of rows that differ, in chapters of one number of rows; values cut at 140."""
-    a, b = keyed(golden), keyed(actual)
+    a, b = cut(keyed(golden)), cut(keyed(actual))
     alike = chapter_counts(a, b).where("status = 'same'").select("chapter_key")
     left = canonical(a).join(alike, "chapter_key", "left_semi").withColumnRenamed("cells", "g")
     both = left.join(canonical(b).withColumnRenamed("cells", "c"), ["chapter_key", "n"])

@@ -11,23 +11,23 @@ from marginalia.functions.text import keywords, marker_family
 GROUP = ["book_id", "source", "chapter_index"]
 
 
-def _dominant(rows: DataFrame, keys: list[str], least: int, share: float, name: str) -> DataFrame:
-    """The family that makes up a share of the rows of a key, ties to the one seen first; null where none does."""
-    counted = rows.groupBy(*keys, "family").agg(F.count("*").alias("c"), F.min("order_key").alias("seen"))
-    per = counted.groupBy(*keys).agg(F.sum("c").alias("total"), F.max_by("family", F.struct("c", -F.col("seen"))).alias("top"), F.max("c").alias("most"))
-    clear = (F.col("total") >= least) & (F.col("most") >= share * F.col("total"))
-    return per.select(*keys, F.when(clear, F.col("top")).alias(f"{name}_family"), F.col("total").alias(f"{name}_total"))
+def with_dominant(rows: DataFrame, keys: list[str], least: int, share: float, name: str) -> DataFrame:
+    """rows with the family that makes up a share of the rows of their key, ties to the one seen first, null where none does; and how many the key and the row's own family have."""
+    whole, same = W.partitionBy(*keys), W.partitionBy(*keys, "family")
+    rows = rows.withColumn(f"{name}_total", F.count("*").over(whole)).withColumn(f"{name}_count", F.count("*").over(same)).withColumn("_seen", -F.min("order_key").over(same))
+    top = F.max(F.struct(F.col(f"{name}_count").alias("c"), "_seen", "family")).over(whole)
+    clear = (F.col(f"{name}_total") >= least) & (F.col("_top.c") >= share * F.col(f"{name}_total"))
+    return rows.withColumn("_top", top).withColumn(f"{name}_family", F.when(clear, F.col("_top.family"))).drop("_top", "_seen")
 
 
 def outlier_penalty(rows: DataFrame) -> DataFrame:
     """Rows of a marker family that is rare where another dominates get a score of 0.55 at most, and a flag.
 
-    A clear family of the row's own chapter counts first, else one of the whole book; linked rows are never marked down.
+    A clear family of the row's own chapter counts first, else one of the whole book; linked rows are never marked down. All windows
+    are of a book or finer, so the rows move once.
     """
     named = rows.withColumn("family", marker_family(F.col("marker_raw"), F.col("marker")))
-    book = ["book_id", "source"]
-    named = named.join(_dominant(named, GROUP, 5, 0.70, "own"), GROUP, "left").join(_dominant(named, book, 10, 0.75, "all"), book, "left")
-    named = named.withColumn("own_count", F.count("*").over(W.partitionBy(*GROUP, "family"))).withColumn("all_count", F.count("*").over(W.partitionBy(*book, "family")))
+    named = with_dominant(with_dominant(named, ["book_id", "source"], 10, 0.75, "all"), GROUP, 5, 0.70, "own")
     own = F.col("own_family").isNotNull()
     family = F.coalesce("own_family", "all_family")
     count, total = F.when(own, F.col("own_count")).otherwise(F.col("all_count")), F.when(own, F.col("own_total")).otherwise(F.col("all_total"))
