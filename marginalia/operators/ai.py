@@ -22,6 +22,17 @@ PROFILE = "Say how notes are marked in this excerpt, in one word: numeric, symbo
 HEADER = "Which line number is the header of the notes section? Answer with the number or NONE.\n\n"
 
 
+#: Where a client asks if nothing else is said, and the path of an endpoint (fixed values).
+ENDPOINT, CHAT = "http://localhost:8080/v1/chat/completions", "/chat/completions"
+
+
+def endpoint(url: str | None) -> str:
+    """A chat endpoint's whole address: of a bare host, of its /v1, or as it is."""
+    given = (url or "").strip(" \t\r\n\"'").rstrip("/")
+    missing = {r".*/chat/completions": "", r".*/v1": CHAT, r"https?://[^/?#]*": f"/v1{CHAT}"}
+    return next((given + more for form, more in missing.items() if re.fullmatch(form, given, re.I)), given) if given else ENDPOINT
+
+
 def question(id: int, marker: str, context: str, candidates: list[str]) -> str:
     listed = "\n".join(f"  - C{k}: {c[:200]}" for k, c in enumerate(candidates))
     return f"ID: {id}\nMarker: {marker}\nAnchor context: {context[:250]}\nCandidates:\n{listed}\n"

@@ -77,7 +77,16 @@ def for_books(golden_files: DataFrame, books: DataFrame) -> DataFrame:
     return golden_files.join(books.select(F.col("label"), F.col("path").alias("book_path")), "label", "left")
 
 
-def write_golden(rows: DataFrame, options: dict, path: str) -> None:
-    """One JSON object with the options and all rows of a book; a book's rows are one document by definition."""
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct("order_key", F.struct(*rows.columns).alias("r")))).alias("x")).select(F.struct(*(F.lit(v).alias(k) for k, v in options.items())).alias("scan_options"), F.transform("x", lambda x: x["r"]).alias("rows"))
-    packed.coalesce(1).write.mode("overwrite").json(path)
+def write_golden(rows: DataFrame, options: dict, path: str, enabled: bool = True) -> None:
+    """One JSON object with the options and the rows of each book, a file for each; enabled: the switch of regression runs.
+
+    Rows with a book_id are packed by it, so a task holds one book's rows at a time.
+    """
+    if not enabled:
+        return
+    keys = ["book_id"] if "book_id" in rows.columns else []
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order_key", F.struct(*rows.columns).alias("r")))).alias("x"))
+    options_ = F.struct(*(F.lit(v).alias(k) for k, v in options.items())).alias("scan_options")
+    documents = packed.select(*keys, options_, F.transform("x", lambda x: x["r"]).alias("rows"))
+    writer = documents.write if not keys else documents.repartition(*keys).write.partitionBy(*keys).option("maxRecordsPerFile", 1)
+    writer.mode("overwrite").json(path)

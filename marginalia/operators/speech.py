@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,3 +100,19 @@ def timestamps_json(words: DataFrame, paras: DataFrame, texts: DataFrame) -> Dat
     pack = lambda df, cols, name: df.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", *cols))), lambda x: F.struct(*(x[c].alias(c) for c in cols))).alias(name))
     both = texts.join(pack(words, ["word", "start_ms", "end_ms"], "timestamps"), "book_id", "left").join(pack(paras, ["text", "start_ms", "end_ms"], "paragraphs"), "book_id", "left")
     return both.select("book_id", F.to_json(F.struct("timestamps", "paragraphs", F.col("text").alias("full_text"), "book_stem")).alias("json"))
+
+
+def encoded(rows: DataFrame, voice_samples: Callable[[str, str], bytes], encoder: Callable[[Iterator[bytes]], bytes]) -> DataFrame:
+    """(book_id, seq, text, voice) to (book_id, audio): each book's samples streamed, in order, through the caller's encoder while they are made.
+
+    A book is one stream, so it is one task, which holds a piece at a time and what the encoder returns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((r["book_id"], r) for batch in batches for r in batch.to_pylist())
+        for book, own in groupby(pieces, key=lambda x: x[0]):
+            audio = encoder(voice_samples(r["text"] or "", r["voice"]) for _, r in own)
+            yield pa.RecordBatch.from_arrays([pa.array([book], pa.int64()), pa.array([audio], pa.binary())], ["book_id", "audio"])
+
+    ordered = rows.select(F.col("book_id").cast("long"), "seq", "text", "voice").repartition("book_id").sortWithinPartitions("book_id", "seq")
+    return ordered.mapInArrow(run, "book_id long, audio binary")

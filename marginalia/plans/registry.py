@@ -460,3 +460,6 @@ def scan_html_books(spark, sf_dir):
 
     toc = spark.createDataFrame([], "book_id long, ord int, file_base string, label string, fragment string")
     return scan_items(cut(_html_items(spark, sf_dir)), toc).groupBy("book_id", "match_method").agg(F.count("*").alias("n"))
+
+
+from marginalia.plans import more  # noqa: E402,F401  registers its queries

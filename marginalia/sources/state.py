@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -26,8 +27,15 @@ def load(spark: SparkSession, path: str, schema: str | None = None, lines: bool
 
 
 def save(rows: DataFrame, path: str) -> None:
-    """Reviewed rows or state, written whole; the files before are replaced when the new ones are complete."""
-    rows.write.mode("overwrite").json(path)
+    """Reviewed rows or state, written whole beside the files before, which go when the new ones are complete."""
+    spark = rows.sparkSession
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rows.write.json(new)
+    files.delete(place(path), True)
+    if not files.rename(place(new), place(path)):
+        raise OSError(f"{new} could not be renamed to {path}")
 
 
 def result_document(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 SAVE_EVERY = "5 seconds"
 
@@ -46,3 +46,22 @@ def folded(log: DataFrame) -> DataFrame:
     each = F.array_sort(F.collect_list(F.struct("seq", "w", "p")))
     packed = log.groupBy("book_id").agg(each.alias("e"))
     return packed.select("book_id", F.flatten(F.transform("e", lambda x: x["w"])).alias("timestamps"), F.transform("e", lambda x: x["p"]).alias("paragraphs"))
+
+
+class Status(StreamingQueryListener):
+    """Tells a caller's function of a stream's status, a line an event, as it comes."""
+
+    def __init__(self, tell: Callable[[str], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell(f"started {event.name or event.id}")
+
+    def onQueryProgress(self, event) -> None:
+        self.tell(f"batch {event.progress.batchId}: {event.progress.numInputRows} rows")
+
+    def onQueryIdle(self, event) -> None:
+        self.tell("waiting")
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell(f"failed: {event.exception}" if event.exception else "ended")
