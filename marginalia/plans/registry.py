@@ -13,6 +13,7 @@ from marginalia.functions import text as T
 from marginalia.operators import golden, headings, repair, review, scan, speech
 from marginalia.operators.pairing import pair
 from marginalia.plans import corpus as C
+from marginalia.session import cut
 from marginalia.sources import html as H
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,18 +116,12 @@ _CAPS = r"len(regexp_extract_all(t, '\p{Lu}'))::DOUBLE / greatest(len(regexp_ext
 _CONNECT = "[" + ", ".join(f"'{c}'" for c in P.CONNECTORS) + "]"
 
 
-@query(rf""", t0 AS (SELECT doc_id, line_index, {_SAFE.format('text')} AS s FROM line WHERE length(text) <= 200),
+@query(rf""", t0 AS (SELECT doc_id, line_index, {_SAFE.format('text')} AS s FROM line),
 t1 AS (SELECT doc_id, line_index, s, coalesce(nullif(rtrim(regexp_replace(s, '(?:\s*(?:\(\s*\d{{1,3}}\s*\)|\[\s*\d{{1,3}}\s*\]|[⁰¹²³⁴⁵⁶⁷⁸⁹]{{1,4}}|[*†‡§]+)\s*)+$', '')), ''), s) AS t FROM t0),
 n AS (SELECT *, {_NAMES} AS names, {_CAPS} AS caps, len(regexp_extract_all(t, '\p{{L}}')) AS letters FROM t1)
 SELECT doc_id, CAST(line_index AS INTEGER) AS line_index, length(t) BETWEEN 3 AND 90 AND length(t) - length(replace(t, ',', '')) < 2 AND letters >= 3
 AND (caps >= 0.85 OR len(list_filter(names, lambda w: regexp_matches(w, '^[A-Z]'))) > 0 AND len(list_filter(names, lambda w: NOT (list_contains({_CONNECT}, lower(w)) OR regexp_matches(w, '^[A-Z]')))) = 0) AS is_part FROM n""", corpus=True)
 def prd_heading_component(spark, sf_dir):
-    return C.lines(spark, sf_dir).where("length(text) <= 200").select("doc_id", "line_index", P.is_heading_component(F.col("text")).alias("is_part"))
-
-
-@query()
-def prd_heading_component_all(spark, sf_dir):
-    """As prd_heading_component, of all lines."""
     return C.lines(spark, sf_dir).select("doc_id", "line_index", P.is_heading_component(F.col("text")).alias("is_part"))
 
 
@@ -179,20 +174,15 @@ def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", H.simple_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(?:script|style)[^>]*>).*?</(?:script|style)>', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
+SELECT page_id, lower(tag) AS tag, count(*) AS n FROM t GROUP BY ALL""")
 def html_elements(spark, sf_dir):
-    return H.elements(_table(spark, sf_dir, "pages").select("page_id", "html")).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("start").alias("last_start"))
+    return H.elements(_table(spark, sf_dir, "pages").select("page_id", "html")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-@query(rf"SELECT page_id, {_SAFE.format("replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&amp;', '&'), '&quot;', chr(34))")} AS label FROM pages WHERE NOT regexp_matches(html, '<h1>[^<]*&(?:amp|quot|a|am|qu|quo|q)?<')")
+@query(rf"SELECT page_id, {_SAFE.format("regexp_replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)', 1), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')")} AS label FROM pages")
 def hdg_from_html(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", "html").where(~F.col("html").rlike("<h1>[^<]*&(?:amp|quot|a|am|qu|quo|q)?<"))
-    return H.headings(H.elements(pages), ["page_id"]).where("tag = 'h1'").select("page_id", "label")
-
-
-@query()
-def hdg_from_html_all(spark, sf_dir):
-    """As hdg_from_html, of all pages."""
+    """Every page's h1; a reference that is cut before its semicolon is one where its name is whole."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "html")
     return H.headings(H.elements(pages), ["page_id"]).where("tag = 'h1'").select("page_id", "label")
 
@@ -200,12 +190,11 @@ def hdg_from_html_all(spark, sf_dir):
 # Scan of the mini-books
 
 
-@query("SELECT doc_id // 20 AS book_id, CAST(doc_id % 20 AS INTEGER) AS chapter_index, count(*) AS n_definitions, min('Note ' || md5(doc_id || '-' || k)) AS first_text FROM numbered WHERE defined GROUP BY doc_id HAVING count(*) >= 3", corpus=True)
+@query("""SELECT doc_id // 20 AS book_id, CAST(doc_id % 20 AS INTEGER) AS chapter_index, CAST(k AS VARCHAR) AS marker, 'Note ' || md5(doc_id || '-' || k) AS text FROM numbered
+WHERE defined AND doc_id IN (SELECT doc_id FROM numbered WHERE defined GROUP BY doc_id HAVING count(*) >= 2 OR bool_or(anchored))""", corpus=True)
 def def_from_lines(spark, sf_dir):
-    rows = scan.parts(C.items(spark, sf_dir)).where("kind = 'definition' and split_rule = 'notes_header' and text rlike '^Note [0-9a-f]{32}$'")
-    found = rows.groupBy("book_id", "chapter_index").agg(F.count("*").alias("n_definitions"), F.min("text").alias("first_text"))
-    truth = C.numbered(spark, sf_dir).where("defined").groupBy("doc_id").count().where("count >= 3").select(F.expr("doc_id div 20").alias("book_id"), F.expr("int(doc_id % 20)").alias("chapter_index"))
-    return truth.join(found, ["book_id", "chapter_index"])
+    """Every definition that the line machine finds in the mini-books: of two or more, or of one that the text refers to."""
+    return scan.parts(C.items(spark, sf_dir)).where("kind = 'definition'").select("book_id", "chapter_index", "marker", "text")
 
 
 @query()
@@ -256,21 +245,13 @@ def pair_sequence(spark, sf_dir):
     return with_sequence(C.anchors(spark, sf_dir, 7)).groupBy("book_id", "chapter_index").agg(F.count_if(F.col("in_seq")).alias("in_sequence"), F.count("*").alias("n"))
 
 
-_KW = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]{{4,}}'), lambda w: NOT list_contains([" + ", ".join(f"'{s}'" for s in T.STOPWORDS) + "], w)))"
+_WORDS = "SELECT DISTINCT {0} AS id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM {1}"
 
 
-@query(f"""WITH p AS (SELECT a.doc_id AS a_id, b.item_id AS b_id, list_intersect({_KW.format('substring(a.text, 1, 400)')}, {_KW.format('b.text')}) AS common FROM documents a, benchmark b WHERE a.doc_id % 20 = b.item_id % 20)
-SELECT a_id, b_id, len(common) AS shared FROM p WHERE len(common) > 0""")
+@query(f"""WITH a AS ({_WORDS.format('doc_id', 'documents')}), b AS ({_WORDS.format('item_id', 'benchmark')})
+SELECT a.id AS a_id, b.id AS b_id, count(*) AS shared FROM a JOIN b USING (word) WHERE word NOT IN ({', '.join(f"'{w}'" for w in T.STOPWORDS)}) GROUP BY ALL""")
 def pair_overlap(spark, sf_dir):
-    a = C.documents(spark, sf_dir).select(F.col("doc_id").alias("a_id"), F.expr("doc_id % 20").alias("bucket"), T.keywords(F.substring("text", 1, 400), 4, None).alias("kw"))
-    b = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b_id"), F.expr("item_id % 20").alias("bucket"), T.keywords(F.col("text"), 4, None).alias("kb"))
-    both = a.join(b, "bucket").select("a_id", "b_id", F.size(F.array_intersect("kw", "kb")).cast("long").alias("shared"))
-    return both.where("shared > 0")
-
-
-@query()
-def pair_overlap_all(spark, sf_dir):
-    """As pair_overlap, of whole texts and all pairs: an index of keywords, counted per pair of rows."""
+    """Keywords that each document shares with each item, of whole texts: an index of keywords, counted per pair of rows."""
 
     def words(rows, id, as_):
         numbered = rows.select(F.col(id).alias(f"{as_}_id"), "text", F.monotonically_increasing_id().alias(f"{as_}_row"))  # before the rows are exploded
@@ -321,7 +302,11 @@ def orphans(spark, sf_dir):
     return repair.orphans(C.anchors(spark, sf_dir), C.definitions(spark, sf_dir)).select("book_id", "chapter_index", "marker", "suggested_definition")
 
 
-@query()
+@query(""", seen AS (SELECT * FROM anchor WHERE anchor_ord % 6 <> 0), item AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY ord) AS text FROM book_line GROUP BY doc_id),
+lost AS (SELECT d.doc_id, d.book_id, d.chapter_index, d.def_ord, '(' || d.def_ord || ')' AS needle FROM definition d LEFT JOIN seen a ON a.doc_id = d.doc_id AND a.anchor_ord = d.def_ord
+JOIN seen b ON b.doc_id = d.doc_id AND b.anchor_ord = d.def_ord - 1 JOIN seen c ON c.doc_id = d.doc_id AND c.anchor_ord = d.def_ord + 1 WHERE a.doc_id IS NULL)
+SELECT book_id, chapter_index, CAST(def_ord AS VARCHAR) AS marker, CAST(instr(text, needle) - 1 AS BIGINT) AS position, 'recovered_anchor' AS match_method, CAST(0.65 AS DOUBLE) AS confidence_score
+FROM lost JOIN item USING (doc_id) WHERE length(text) - length(replace(text, needle, '')) = length(needle)""", corpus=True)
 def recover(spark, sf_dir):
     seen = C.anchors(spark, sf_dir).where("anchor_ord % 6 <> 0")  # the others stand in the text and were missed
     found = repair.orphans(seen, C.definitions(spark, sf_dir))
@@ -435,8 +420,8 @@ def _html_items(spark, sf_dir):
     marks = C.numbered(spark, sf_dir)
     body = C.lines(spark, sf_dir).join(marks.select("doc_id", "line_index", "k", "anchored"), ["doc_id", "line_index"], "left")
     link = F.concat(F.lit('<a href="#fn'), F.col("k").cast("string"), F.lit('"><sup>'), F.col("k").cast("string"), F.lit("</sup></a>"))
-    letters = F.regexp_replace("text", "[^A-Za-z ]", "")
-    prose = body.select("doc_id", F.col("line_index").cast("long").alias("ord"), F.concat(F.lit("<p>"), letters, F.when(F.col("anchored"), link).otherwise(""), F.lit("</p>")).alias("html"))
+    whole = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    prose = body.select("doc_id", F.col("line_index").cast("long").alias("ord"), F.concat(F.lit("<p>"), whole, F.when(F.col("anchored"), link).otherwise(""), F.lit("</p>")).alias("html"))
     notes = marks.where("defined").select("doc_id", (F.lit(C.NOTES_AT) + F.col("k")).cast("long").alias("ord"), F.concat(F.lit('<p class="footnote" id="fn'), F.col("k").cast("string"), F.lit('">'), C.note_text(), F.lit("</p>")).alias("html"))
     packed = prose.unionByName(notes).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "html"))), lambda x: x["html"]), "").alias("html"))
     return packed.select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter_index"), F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("chapter_name"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
@@ -444,7 +429,7 @@ def _html_items(spark, sf_dir):
 
 @query("""SELECT a.doc_id AS book_id, CAST(a.anchor_ord AS VARCHAR) AS marker, 'Note ' || md5(a.doc_id || '-' || a.anchor_ord) AS suggested_definition, CAST(0.98 AS DOUBLE) AS confidence_score FROM anchor a JOIN definition d ON a.doc_id = d.doc_id AND a.anchor_ord = d.def_ord""", corpus=True)
 def html_id_links(spark, sf_dir):
-    rows = H.elements(_html_items(spark, sf_dir).withColumn("file_name", F.col("chapter_name"))).persist()
+    rows = cut(H.elements(_html_items(spark, sf_dir).withColumn("file_name", F.col("chapter_name"))))
     keys = ["book_id", "chapter_index"]
     anchors = H.anchors(rows, keys).withColumn("anchor_ord", F.col("marker").try_cast("int")).withColumn("chapter_group", F.lit(None).cast("string"))
     ids = H.definitions(rows, ["book_id"]).select("book_id", F.lit(None).cast("string").alias("file_key"), "def_id", "text")
@@ -456,7 +441,6 @@ def html_id_links(spark, sf_dir):
 @query()
 def scan_html_books(spark, sf_dir):
     from marginalia.operators.epub import scan_items
-    from marginalia.session import cut
 
     toc = spark.createDataFrame([], "book_id long, ord int, file_base string, label string, fragment string")
     return scan_items(cut(_html_items(spark, sf_dir)), toc).groupBy("book_id", "match_method").agg(F.count("*").alias("n"))
