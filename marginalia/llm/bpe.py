@@ -6,7 +6,8 @@ in every round each row merges its leftmost pair of minimum rank. A pair's rank
 up in an open-addressing hash table over (left id, right id); a round narrows the matrix by
 a column and drops the rows that are done. Pieces over LONG bytes are merged one at a time
 in a flat array; there one round takes all places of the minimum pair where the vocabulary
-proves that this equals taking them leftmost first, so that a run of a million bytes ends.
+proves that this equals taking them leftmost first, and where it doesn't, a heap of pairs over a linked
+list goes on one by one, so that a run of a million bytes of any kind ends.
 
 Defined results: a null text counts as empty and has no ids; long texts are cut
 piecewise, never shortened; other columns pass through untouched.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -155,7 +157,7 @@ class Vocabulary:
                 starts = np.r_[True, np.diff(at) != 1]  # of runs of overlapping places: every other one merges
                 at = at[(at - at[starts][np.cumsum(starts) - 1]) % 2 == 0]
             else:
-                at = at[:1]
+                return self._linked(ids, ranks)
             ids[at] = least
             ids = np.delete(ids, at + 1)
             ranks = np.delete(ranks, at) if len(ranks) else ranks
@@ -164,6 +166,32 @@ class Vocabulary:
             ranks[near] = self.pair_ranks(ids[near], ids[near + 1])
         return ids.tolist()
 
+    def _linked(self, found: np.ndarray, ranks: np.ndarray) -> list[int]:
+        """The leftmost pair of least rank, one after the other: a heap of pairs over a linked list, so a piece costs n log n."""
+        ids, now, n = found.tolist(), [*ranks.tolist(), NONE], len(found)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k, r in enumerate(now) if r != NONE]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+        while heap:
+            least, k = heapq.heappop(heap)
+            if now[k] != least:
+                continue
+            gone = after[k]
+            ids[k], ids[gone], now[gone], after[k] = least, -1, -1, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            for one in (before[k], k):
+                if one < 0:
+                    continue
+                pair = (ids[one], ids[after[one]]) if after[one] < n else (-1, -1)
+                if pair not in known:
+                    known[pair] = int(self.pair_ranks(np.array(pair[:1]), np.array(pair[1:]))[0]) if pair[0] >= 0 else NONE
+                now[one] = known[pair]
+                if now[one] != NONE:
+                    heapq.heappush(heap, (now[one], one))
+        return [x for x in ids if x >= 0]
+
 
 class Codec:
     """Encoder and decoder over one vocabulary and pattern, with a bounded memory of pieces."""

@@ -33,6 +33,16 @@ def test_bpe_is_the_librarys(library, alphabet):
         assert codec.decode(codec.encode(text)) == text.encode()
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "acgt", "a", "="])
+def test_bpe_of_very_long_runs(library, alphabet):
+    """Pieces of a million letters end, and shorter ones are the library's."""
+    codec = bpe.codec(*bpe.default_files())
+    draw = random.Random(alphabet)
+    text = "".join(draw.choices(alphabet, k=1_000_000))
+    assert codec.decode(codec.encode(text)) == text.encode()
+    assert codec.encode(text[:30_000]) == library.encode_ordinary(text[:30_000])
+
+
 def test_bpe_forgets_and_cuts_long_texts(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     monkeypatch.setattr(bpe, "STRETCH", 10)
