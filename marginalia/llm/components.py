@@ -8,7 +8,7 @@ of all nodes is only a skewed join, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marginalia.llm.shared import cut
@@ -27,19 +27,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A sum over the edges that changes when they do."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with a sum over them that changes when they do, taken on the way."""
+    seen = Observation()
+    found = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum")))
+    return found, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of longs, u <> v, to (node, component): each node that has an edge and the least node it reaches."""
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = _mark(edges)
+    edges, before = _marked(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while before[0]:
-        edges = cut(_small(_large(edges)))
-        if (now := _mark(edges)) == before:
+        edges, now = _marked(_small(_large(edges)))
+        if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -47,6 +47,8 @@ ROWS_HELD = 60_000
 DEEPER = 8
 #: Rows of places that may be sent to every executor.
 SENT_ROWS = 100_000
+#: Candidates between two components that are verified before all others.
+NEAREST = 8
 #: Links that meet one copy of a text in one place.
 COPIES = 500
 
@@ -306,7 +308,7 @@ SHORTS, SHORT_BUDGET = 24, 2
 #: Bits of a further fingerprint of 128 that may differ in a candidate: 0.8 gives 19 on average, with a deviation of 4.
 WIDE_BUDGET = 32
 #: Spanning forests of candidates that a task returns: more than one, as a candidate that fails must not hide one that holds.
-FORESTS = 3
+FORESTS = 2
 LONGS = SHORTS // 2 + 2
 
 
@@ -415,55 +417,62 @@ def _parted(rows: DataFrame, group: int) -> DataFrame:
     return found.select(F.xxhash64("task", one, two).alias("task"), side.alias("side"), "short", "node", "c0", "c1")
 
 
-def _with_text(edges: DataFrame, key: str, texts: DataFrame, out: str) -> DataFrame:
-    """edges with the text of the node in `key`, of which a node of many links sends a copy for every COPIES of them."""
-    counts = cut(edges.groupBy(key).agg(F.count("*").alias("n")))
-    dealt = joined_counted(edges, counts, [key], "n", edges.count()).withColumn("part", F.pmod(F.xxhash64("u", "v"), F.ceil(F.col("n") / COPIES)).cast("int")).drop("n")
-    copies = texts.join(counts, texts["node"] == counts[key]).select(F.col("node").alias(key), F.col("text").alias(out), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / COPIES).cast("int") - 1)).alias("part"))
-    return dealt.join(copies, [key, "part"]).drop("part")
-
-
 def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """The edges (u, v) whose texts' sets of shingles have a Jaccard similarity of at least `similarity`."""
-    edges = cut(edges.select("u", "v"))
-    both = _with_text(_with_text(edges, "u", texts, "a"), "v", texts, "b")
+    """The edges (u, v, copy_u, copy_v) whose texts' sets of shingles have a Jaccard similarity of at least `similarity`; texts: (node, copy, text)."""
+    a = texts.select(F.col("node").alias("u"), F.col("copy").alias("copy_u"), F.col("text").alias("a"))
+    b = texts.select(F.col("node").alias("v"), F.col("copy").alias("copy_v"), F.col("text").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[str | None, np.ndarray] = (None, np.zeros(0, "<u8"))
         for batch in batches:
             near = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, other = np.unique(_shingles(a.as_py(), shingle)), b.as_py()
+            for one, two in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, other = np.unique(_shingles(one.as_py(), shingle)), two.as_py()
                 if known[0] != other:
                     known = (other, np.unique(_shingles(other, shingle)))
                 shared = len(np.intersect1d(x, known[1], assume_unique=True))
                 near.append(shared >= similarity * (len(x) + len(known[1]) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return edges.join(a, ["u", "copy_u"]).join(b, ["v", "copy_v"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def dealt_copies(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with copy_u and copy_v, and (node, copies): a node of many edges has a copy of its text for every COPIES of them."""
+    n = edges.count()
+    degrees = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")))
+    for end in ("u", "v"):
+        edges = joined_counted(edges, degrees.withColumnRenamed("node", end), [end], "n", n).withColumn(f"copy_{end}", F.pmod(F.xxhash64("u", "v"), F.ceil(F.col("n") / COPIES)).cast("int")).drop("n")
+    return cut(edges), degrees.select("node", F.ceil(F.col("n") / COPIES).cast("int").alias("copies"))
 
 
 def similar_nodes(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """Candidates (u, v, differ), u > v, to (node, component) of what verified candidates connect.
+    """Candidates (u, v, differ, copy_u, copy_v), u > v, to (node, component) of what verified candidates connect.
 
-    First every node's nearest candidate is verified, then, as long as untried candidates lead from one component to
-    another, the nearest eight of each two components, four times as many each time; what lies within a component needs no proof.
+    First every node's nearest candidate is verified, then of those that still lead from one component to another the NEAREST of each two
+    components, then all that still do; what lies within a component needs no proof.
     """
-    left, near, most = cut(edges), None, 8
-    tried = cut(left.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("x")).select("u", "x.v"))
-    while not tried.isEmpty():
+    edge = ["u", "v", "copy_u", "copy_v"]
+    left, near = edges.withColumn("of_u", F.col("u")).withColumn("of_v", F.col("v")), None
+    for most in (0, NEAREST, None):
+        if not most:
+            tried = left if most is None else left.groupBy("u").agg(F.min(F.struct("differ", *edge)).alias("x")).select("x.*")
+        else:
+            order = W.partitionBy(F.least("of_u", "of_v"), F.greatest("of_u", "of_v")).orderBy("differ", "u", "v")
+            tried = left.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        tried = cut(tried.select(*edge))
         new = cut(verified(tried, texts, similarity, shingle))
-        near = new if near is None else cut(near.unionByName(new))
+        if near is not None and new.isEmpty():
+            break
+        near = new if near is None else near.unionByName(new)
         found = cut(components(near))
-        left = left.join(tried, ["u", "v"], "left_anti")
+        left = left.join(tried.select("u", "v"), ["u", "v"], "left_anti").drop("of_u", "of_v")
         for end in ("u", "v"):
-            named = found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-            left = left.drop(f"of_{end}").join(named, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+            left = left.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
         left = cut(left.where("of_u <> of_v"))
-        nearest = W.partitionBy(F.least("of_u", "of_v"), F.greatest("of_u", "of_v")).orderBy("differ", "u", "v")
-        tried = cut(left.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= most).select("u", "v"))
-        most *= 4
-    return found if near is not None else components(left.select("u", "v"))
+        if left.isEmpty():
+            break
+    return found
 
 
 def grouped(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, group: int = GROUP) -> DataFrame:
@@ -471,9 +480,10 @@ def grouped(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
     prints = written(wide_fingerprints(rows, shingle), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("first")
     nodes = written(prints.groupBy("shingles").agg(first, F.min("w").alias("w"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    edges = cut(wide_links(nodes.select("node", "w"), budget, group))
-    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.at").alias("at"))
-    texts = written(rows.select("at", "text").join(wanted, "at").select("node", "text"), "texts")
+    edges, copies = dealt_copies(cut(wide_links(nodes.select("node", "w"), budget, group)))
+    wanted = copies.join(nodes, "node").select("node", "copies", F.col("first.at").alias("at"))
+    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    texts = written(rows.select("at", "text").join(wanted, "at").select("node", copy, "text"), "texts")
     found = similar_nodes(edges, texts, similarity, shingle)
     rooted = cut(nodes.join(found, "node", "left").select("shingles", "n", "first", F.coalesce("component", "node").alias("root")))
     roots = cut(rooted.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("nodes")))
